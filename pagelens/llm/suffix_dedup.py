@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, prefix_hash, row_groups, substring_hash, text_buffer
+from .common import materialize, mix, prefix_hash, row_groups, stored, substring_hash, text_buffer
 
 LENGTH = 400
 #: First q-gram of a bucket; anchors are picked by it.
 GRAM = 64
 #: Bytes looked at in one go, and window starts in a piece of a long text.
 PIECE = 1 << 20
-#: Rows of a bucket that one task refines; larger buckets are dealt out by whole windows.
-HOT = 20_000
-ANCHOR = "tk binary, pos int, gram long, context long"
+#: Bytes of contexts that are refined together.
+REFINE = 1 << 19
+#: Contexts of a bucket that one task refines; larger buckets are split by parts of their windows.
+HOT = 1000
+#: Parts that a context's windows are split into there.
+PARTS = 8
+ANCHOR = "tk binary, size int, pos int, gram long, context long"
 
 
 def _anchors_of(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -47,10 +53,27 @@ def _context(pos: np.ndarray, size: np.ndarray, length: int, gram: int) -> tuple
     return np.maximum(0, pos - (length - gram)), np.minimum(size, pos + length)
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffles, under their MD5."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
         data, off = text_buffer(b.column(1))
-        keys = b.column(0)
+        raw, keys, packed = data.tobytes(), [], []
+        for s, e in zip(off[:-1].tolist(), off[1:].tolist()):
+            keys.append(hashlib.md5(raw[s:e]).digest())
+            packed.append(squeeze(raw[s:e]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(np.diff(off)), pa.array(packed, pa.binary())], ["doc_id", "tk", "size", "z"])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    expand = zstandard.ZstdDecompressor().decompress
+    texts = [expand(x) for x in column.to_pylist()]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts], dtype=np.int64)))
+
+
+def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data, off = text_buffer(b.column(0))
         for lo, hi in row_groups(off, PIECE):
             raw = data[off[lo] : off[hi]]
             text = raw.tobytes()
@@ -75,14 +98,16 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
             g = np.fromiter((hash64(text[p : p + gram]) for p in place.tolist()), np.uint64, len(place))
             seeds = ((pos - left) * (length + 1) + right - pos).tolist()
             c = np.fromiter((hash64(text[s:e], seed) for s, e, seed in zip((begin + left).tolist(), (begin + right).tolist(), seeds)), np.uint64, len(place))
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(lo + row)), pa.array(pos.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], ["tk", "pos", "gram", "context"])
+            keys = pa.array([hashlib.md5(text[x:y]).digest() for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())
+            columns = [pa.array(x) for x in (size.astype(np.int32), pos.astype(np.int32), g.view(np.int64), c.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), *columns], ["tk", "size", "pos", "gram", "context"])
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Bytes around the anchors that a text was joined with."""
-    names = ["gram", "tk", "pos", "single", "before", "bytes"]
+    names = ["gram", "hot", "tk", "pos", "single", "before", "bytes"]
     for b in batches:
-        data, off = text_buffer(b.column(1))
+        data, off = _unpacked(b.column(1))
         lists = b.column(2)
         flat = lists.flatten()
         row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -93,10 +118,10 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
             at = off[row[cut]]
             pieces = [data[x:y].tobytes() for x, y in zip((at + left[cut]).tolist(), (at + right[cut]).tolist())]
             rest = flat.slice(s, 4096)
-            yield pa.RecordBatch.from_arrays([rest.field("gram"), b.column(0).take(pa.array(row[cut])), rest.field("pos"), rest.field("single"), pa.array((pos - left)[cut].astype(np.int32)), pa.array(pieces, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([rest.field("gram"), rest.field("hot"), b.column(0).take(pa.array(row[cut])), rest.field("pos"), rest.field("single"), pa.array((pos - left)[cut].astype(np.int32)), pa.array(pieces, pa.binary())], names)
 
 
-CONTEXT = "gram long, tk binary, pos int, single boolean, before int, bytes binary"
+CONTEXT = "gram long, hot boolean, tk binary, pos int, single boolean, before int, bytes binary"
 
 
 def _buckets(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,10 +186,10 @@ def _refine(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
-        for s in range(0, b.num_rows, 512):
-            held.append(b.slice(s, 512))
+        for s in range(0, b.num_rows, 256):
+            held.append(b.slice(s, 256))
             size += held[-1].nbytes
-            if size < 2 * PIECE:
+            if size < REFINE:
                 continue
             t = pa.Table.from_batches(held)
             g = t.column("gram").to_numpy()
@@ -177,74 +202,126 @@ def _refine(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
         yield spans(pa.Table.from_batches(held))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Every window of a context with a 128-bit hash, for buckets too large for one task."""
+def _part(length: int, gram: int) -> int:
+    return max(1, -(-(length - gram + 1) // PARTS))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of each part of a context's windows: of the bytes that all of them hold and of those that any holds."""
+    digest = xxhash.xxh3_128_digest
     for b in batches:
         data, off = text_buffer(b.column(5))
-        raw, pos, before = data.tobytes(), b.column(2).to_numpy().astype(np.int64), b.column(4).to_numpy().astype(np.int64)
+        raw, before = data.tobytes(), b.column(4).to_numpy()
+        row, part, inner, outer = [], [], [], []
         for i in range(b.num_rows):
-            n = int(off[i + 1] - off[i]) - length + 1
-            if n <= 0:
-                continue
-            at = int(off[i])
-            h = [xxhash.xxh3_128_digest(raw[at + k : at + k + length]) for k in range(n)]
-            start = pos[i] - before[i] + np.arange(n)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), b.column(1).take(pa.array([i] * n)), pa.array(start.astype(np.int32)), pa.array([b.column(3)[i].as_py()] * n)], ["h", "tk", "s", "single"])
+            end = int(off[i + 1])
+            # parts are counted from the anchor, so they line up whatever the texts' starts
+            for k in range(-(-int(before[i] + 1) // width)):
+                last = int(off[i] + before[i]) - k * width
+                lo, hi = max(int(off[i]), last - width + 1), min(last, end - length)
+                if lo <= hi:
+                    row.append(i)
+                    part.append(k)
+                    # a text's start or end may cut windows off; those left hold the bytes that all of a whole part do
+                    inner.append(digest(raw[last : last - width + 1 + length]))
+                    outer.append(digest(raw[lo : hi + length], (last - hi) * width + hi - lo))
+        take = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([*[b.column(i).take(take) for i in range(4)], pa.array(part, pa.int32()), pa.array(inner, pa.binary()), pa.array(outer, pa.binary())], ["gram", "tk", "pos", "single", "part", "inner", "outer"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Every window of some parts of a context with its hash."""
+    for b in batches:
+        data, off = text_buffer(b.column(3))
+        raw, pos, before = data.tobytes(), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().astype(np.int64)
+        row, start, hashes, single = [], [], [], []
+        for i, parts in enumerate(b.column(4).to_pylist()):
+            for p in parts:
+                hi = int(off[i] + before[i]) - p["part"] * width
+                for at in range(max(int(off[i]), hi - width + 1), min(hi, int(off[i + 1]) - length) + 1):
+                    row.append(i)
+                    start.append(pos[i] - before[i] + at - int(off[i]))
+                    hashes.append(xxhash.xxh3_128_digest(raw[at : at + length]))
+                    single.append(p["single"])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(single, pa.bool_())], ["h", "tk", "s", "single"])
+
+
+def _hot_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Repeated spans of single contexts in buckets too large for one task; every step is a hash-dealt count.
+
+    A context's windows are split into parts. Where the bytes of a whole part repeat, it is settled; where the bytes
+    that its windows share are alone, none repeats; what is left, one for each distinct part, is counted by window.
+    """
+    width = _part(length, gram)
+    parts = materialize(contexts.select("gram", "tk", "pos", "single", "before", "bytes").mapInArrow(partial(_parts, length=length, width=width), "gram long, tk binary, pos int, single boolean, part int, inner binary, outer binary"))
+    same = ["gram", "part", "inner"]  # so that no two rows of a bucket are the same place
+    by = parts.groupBy(*same, "outer").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "pos", "part", "single")).alias("one"))
+    by = materialize(by.select(*same, "outer", "n", "one", ((F.col("n") == 1) & F.col("one.single")).alias("open")))
+    first = F.greatest(F.lit(0), F.greatest(F.col("pos") - (length - gram), F.col("pos") - F.col("part") * width - width + 1))
+    last = F.col("pos") - F.col("part") * width
+    sizes = contexts.select("tk", "pos", (F.col("pos") - F.col("before") + F.octet_length("bytes")).alias("end"))
+    done = parts.where("single").join(by.where("n > 1").select(*same, "outer"), [*same, "outer"], "left_semi").join(sizes, ["tk", "pos"])
+    done = done.select("tk", first.alias("s"), F.least(last + length, F.col("end")).alias("e"))
+    mixed = by.groupBy(*same).agg(F.count(F.lit(1)).alias("m"), F.max("open").alias("any")).where("m > 1 and any").select(*same)
+    again = by.join(mixed, same, "left_semi").select("one.tk", "one.pos", "one.part", F.col("open").alias("single"))
+    again = again.groupBy("tk", "pos").agg(F.collect_list(F.struct("part", "single")).alias("parts"))
+    wide = contexts.select("tk", "pos", "before", "bytes").join(again, ["tk", "pos"]).select("tk", "pos", "before", "bytes", "parts").mapInArrow(partial(_windows, length=length, width=width), "h binary, tk binary, s int, single boolean")
+    wide = materialize(wide.groupBy("h", "tk", "s").agg(F.max("single").alias("single")))
+    twice = wide.groupBy("h").count().where("count > 1").select("h")
+    broad = wide.where("single").join(twice, "h", "left_semi").select("tk", "s", (F.col("s") + length).alias("e"))
+    return done.unionByName(broad)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``(tk, s, e)``: byte spans covered by ``length``-byte strings that start at two places or more.
 
-    ``docs(tk, text)`` holds texts under their MD5; spans of a text may touch or overlap and may come more than once.
+    ``texts(text)``; ``tk`` is a text's MD5. Spans of a text may touch or overlap and may come more than once.
 
     An anchor is the position of the least hash in a window of gram positions, so two equal strings of ``length``
     bytes hold an anchor at the same offset. Anchors are bucketed by the q-gram they start; buckets of one go. Equal
     whole contexts (all that the windows holding the anchor can reach) settle the rest of a copy; one anchor stands
     for each distinct context, and buckets of several contexts are refined, see _repeats(). Buckets of more than
-    ``hot`` contexts are counted window by window instead, dealt out by the window's hash.
+    ``hot`` contexts are split over tasks, see _hot_spans().
     """
     size = {"length": length, "gram": gram}
-    anchors = materialize(docs.where(F.octet_length("text") >= length).select("tk", "text").mapInArrow(partial(_find_anchors, **size), ANCHOR))
+    long = texts.where(F.octet_length("text") >= length).select("text")
+    anchors = stored(long.mapInArrow(partial(_find_anchors, **size), ANCHOR))
     shared = anchors.groupBy("gram").count().where("count > 1").select("gram")
     anchors = materialize(anchors.join(shared, "gram", "left_semi"))
-    contexts = anchors.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "pos")).alias("one"))
+    contexts = anchors.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "pos", "size")).alias("one"))
     contexts = materialize(contexts.select("gram", "context", (F.col("n") == 1).alias("single"), "one"))
-    whole = anchors.join(contexts.where("not single").select("gram", "context"), ["gram", "context"]).join(docs.select("tk", F.octet_length("text").alias("size")).where(F.col("size") >= length).distinct(), "tk")
+    whole = anchors.join(contexts.where("not single").select("gram", "context"), ["gram", "context"], "left_semi")
     whole = whole.select("tk", F.greatest(F.lit(0), F.col("pos") - (length - gram)).alias("s"), F.least("size", F.col("pos") + length).alias("e"))
 
     open_ = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("any")).where("n > 1 and any").select("gram", (F.col("n") > hot).alias("hot"))
     todo = contexts.join(open_, "gram").select("gram", "hot", "single", "one.tk", "one.pos")
     lists = todo.groupBy("tk").agg(F.collect_list(F.struct("gram", "pos", "single", "hot")).alias("at"))
-    texts = docs.select("tk", "text").join(lists, "tk").select("tk", "text", F.filter("at", lambda x: ~x["hot"]).alias("cold"), F.filter("at", lambda x: x["hot"]).alias("hot"))
-    cut = partial(_cut_contexts, **size)
-    cold = texts.where(F.size("cold") > 0).select("tk", "text", "cold").mapInArrow(cut, CONTEXT)
-    fine = cold.repartition("gram").dropDuplicates(["gram", "tk", "pos"]).sortWithinPartitions("gram").mapInArrow(partial(_refine, **size), "tk binary, s int, e int")
-
-    wide = texts.where(F.size("hot") > 0).select("tk", "text", "hot").mapInArrow(cut, CONTEXT).mapInArrow(partial(_windows, **size), "h binary, tk binary, s int, single boolean").distinct()
-    twice = wide.groupBy("h").count().where("count > 1").select("h")
-    broad = wide.where("single").join(twice, "h", "left_semi").select("tk", "s", (F.col("s") + length).alias("e"))
-    return whole.unionByName(fine).unionByName(broad)
+    packed = long.select(F.lit(0).alias("doc_id"), "text").mapInArrow(_packed, "doc_id int, tk binary, size long, z binary")
+    cut = packed.select("tk", "z").join(lists, "tk").select("tk", "z", "at").mapInArrow(partial(_cut_contexts, **size), CONTEXT)
+    fine = cut.where("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(partial(_refine, **size), "tk binary, s int, e int")
+    many = materialize(cut.where("hot"))
+    return whole.unionByName(fine).unionByName(_hot_spans(many, length, gram))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     for b in batches:
-        data, off = text_buffer(b.column(1))
-        spans = b.column(2)
-        flat, at = spans.flatten(), spans.offsets.to_numpy()
-        s, e = flat.field("s").to_numpy(), flat.field("e").to_numpy()
-        kept, removed, runs = [], [], []
-        for i in range(b.num_rows):
-            text = data[off[i] : off[i + 1]]
-            x, y = s[at[i] : at[i + 1]], e[at[i] : at[i + 1]]
-            gone = np.zeros(len(text) + 2, np.int32)
-            np.add.at(gone, x + 1, 1)
-            np.add.at(gone, y + 1, -1)
-            hit = np.cumsum(gone) > 0  # hit[i + 1] tells of byte i
-            runs.append(int((hit[1:] & ~hit[:-1]).sum()))
-            hit = hit[1:-1]
-            removed.append(int(hit.sum()))
-            kept.append(text[~hit].tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        for lo in range(0, b.num_rows, 512):
+            part = b.slice(lo, 512)
+            data, off = _unpacked(part.column(1))
+            kept, removed, runs = [], [], []
+            for i, spans in enumerate(part.column(2).to_pylist()):
+                text = data[off[i] : off[i + 1]]
+                gone = np.zeros(len(text) + 2, np.int32)
+                for x in spans or ():
+                    gone[x["s"] + 1] += 1
+                    gone[x["e"] + 1] -= 1
+                hit = np.cumsum(gone) > 0  # hit[i + 1] tells of byte i
+                runs.append(int((hit[1:] & ~hit[:-1]).sum()))
+                hit = hit[1:-1]
+                removed.append(int(hit.sum()))
+                kept.append(text[~hit].tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -255,8 +332,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     other, so of repeated rows all that is ``length`` bytes or longer goes. Shorter texts stay whole. An empty table
     gives no rows; a null or repeated doc_id matters not, as rows are told apart by text; further columns are ignored.
     """
-    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.unhex(F.md5(F.col("text").cast("binary"))))
-    spans = repeated_spans(t, length, gram, hot).groupBy("tk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(docs, length, gram, hot).groupBy("tk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = t.join(spans, "tk", "left").select("doc_id", "text", F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")).alias("spans"))
+    rows = docs.select("doc_id", "text").mapInArrow(_packed, f"doc_id {kind}, tk binary, size long, z binary")
+    rows = rows.join(spans, "tk", "left").select("doc_id", "z", "spans")
     return rows.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
