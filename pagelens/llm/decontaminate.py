@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import chain, row_groups, text_buffer, word_hashes
 
@@ -162,56 +164,79 @@ def _candidates(items: Items, words: np.ndarray, row: np.ndarray) -> list[tuple[
     return found
 
 
+def _find(items: Items, data: np.ndarray, off: np.ndarray, threshold: float) -> list[tuple[int, int, float, str, int, int]]:
+    """(row, item, score, passage, first word, last word) of the best alignment of each text and item it holds."""
+    length = np.diff(items.starts)
+    out = []
+    for lo, hi in row_groups(off, GROUP_BYTES):
+        raw = data[off[lo] : off[hi]]
+        words, row, start, end = word_hashes(raw, off[lo : hi + 1] - off[lo])
+        edge = np.searchsorted(row, np.arange(hi - lo + 1))
+        best: dict[tuple[int, int], tuple] = {}
+        for r, i, s, e in _candidates(items, words, row):
+            s, e = max(s, int(edge[r])), min(e, int(edge[r + 1]))
+            score, x, y = align(items.words[items.starts[i] : items.starts[i + 1]], words[s:e])
+            share = score / (MATCH * int(length[i]))
+            if share >= threshold and share > best.get((r, i), (0,))[0]:
+                text = raw[start[s + x] : end[s + y - 1]].tobytes().decode("utf-8", "replace")
+                best[r, i] = (share, text, s + x - int(edge[r]), s + y - int(edge[r]))
+        out += [(lo + r, i, *v) for (r, i), v in sorted(best.items())]
+    return out
+
+
+def _seeds(docs: DataFrame, benchmark: DataFrame, rare: float, block_words: int) -> Iterator[Broadcast]:
+    """The benchmark in blocks of about ``block_words`` words, each with its seeds by the corpus, broadcast."""
+    spark = docs.sparkSession
+    low = docs.select(F.lower("text").alias("low"))
+    words = F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"[^\W_]+|[^\x00-\x7F]+")), F.lit(0))
+    test = benchmark.select("item_id", "text", words.alias("n")).where("n > 0")
+    blocks = -(-(test.agg(F.sum("n")).first()[0] or 0) // block_words)
+    for block in range(blocks):
+        rows = test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        every = Items.of(rows)
+        yield spark.sparkContext.broadcast(every.keep(_frequencies(low, spark.sparkContext.broadcast(every)), rare))
+
+
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rare: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, item_id, score, matched, start, end)``: test items found in texts, the best alignment of each.
 
     ``docs(doc_id, text)``, ``benchmark(item_id, text)``. Words are runs of letters and digits, case folded. Seeds are
     the item's word n-grams that no more than ``rare`` times as many documents of the corpus hold as its median n-gram,
-    so an item whose n-grams are all common keeps seeds too. Where MIN_SEEDS of them stand near each other, the stretch and an
-    item's length on both sides are aligned; ``score`` is the alignment's over that of a verbatim copy, kept from
-    ``threshold`` on; start and end count words of the text, ``matched`` is the passage's text.
+    so an item whose n-grams are all common keeps seeds too. Where MIN_SEEDS of them stand near each other, the stretch
+    and an item's length on both sides are aligned; ``score`` is the alignment's over that of a verbatim copy, kept
+    from ``threshold`` on; start and end count words of the text, ``matched`` is the passage, case folded.
 
-    The benchmark is looked for in blocks of ``block_words`` words, each broadcast. Null or wordless texts and items
-    match nothing. Rows are taken one by one: repeated rows repeat, a null doc_id stays null. Empty tables give none.
+    The benchmark is looked for in blocks of about ``block_words`` words, each broadcast. Null or wordless texts and
+    items match nothing. Rows are taken one by one: repeated rows repeat, a null doc_id stays null. Empty tables give
+    no rows; further columns are ignored.
     """
-    spark = docs.sparkSession
-    low = docs.select("doc_id", "text", F.lower("text").alias("low"))
-    test = benchmark.select("item_id", "text", F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"[^\W_]+|[^\x00-\x7F]+")), F.lit(0)).alias("n"))
-    blocks = -(-(test.agg(F.sum("n")).first()[0] or 0) // block_words)
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, score double, matched string, start int, end int"
-    result = None
-    for block in range(blocks):
-        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block
-        rows = test.where(part & (F.col("n") > 0)).orderBy("item_id", "text").collect()  # block_words words, on average
-        every = Items.of(rows)
-        shared = spark.sparkContext.broadcast(every)
-        seeds = spark.sparkContext.broadcast(every.keep(_frequencies(low, shared), rare))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), *T.StructType.fromDDL("score double, matched string, start int, end int").fields])
+    kinds = to_arrow_schema(schema)
+    result = docs.sparkSession.createDataFrame([], schema)
+    for seeds in _seeds(docs, benchmark, rare, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Broadcast = seeds) -> Iterator[pa.RecordBatch]:
-            items = seeds.value
-            length = np.diff(items.starts)
             for b in batches:
-                data, off = text_buffer(b.column(1))
-                out: list[tuple] = []
-                for lo, hi in row_groups(off, GROUP_BYTES):
-                    raw = data[off[lo] : off[hi]]
-                    words, row, start, end = word_hashes(raw, off[lo : hi + 1] - off[lo])
-                    edge = np.searchsorted(row, np.arange(hi - lo + 1))
-                    best: dict[tuple[int, int], tuple] = {}
-                    for r, i, s, e in _candidates(items, words, row):
-                        s, e = max(s, int(edge[r])), min(e, int(edge[r + 1]))
-                        score, x, y = align(items.words[items.starts[i] : items.starts[i + 1]], words[s:e])
-                        share = score / (MATCH * int(length[i]))
-                        if share >= threshold and share > best.get((r, i), (0,))[0]:
-                            text = raw[start[s + x] : end[s + y - 1]].tobytes().decode("utf-8", "replace")
-                            best[r, i] = (share, text, s + x - int(edge[r]), s + y - int(edge[r]))
-                    out += [(lo + r, items.ids[i], *v) for (r, i), v in sorted(best.items())]
-                take = b.column(0).take(pa.array([x[0] for x in out], pa.int64()))
-                columns = [pa.array([x[k] for x in out], t) for k, t in ((1, None if out else pa.int64()), (2, pa.float64()), (3, pa.string()), (4, pa.int32()), (5, pa.int32()))]
-                if out:
-                    yield pa.RecordBatch.from_arrays([take, *columns], ["doc_id", "item_id", "score", "matched", "start", "end"])
-
-        found = low.select("doc_id", "low").mapInArrow(run, schema)
-        result = found if result is None else result.unionByName(found)
-    return spark.createDataFrame([], schema) if result is None else result
+                found = _find(seeds.value, *text_buffer(b.column(1)), threshold)
+                ids = b.column(0).take(pa.array([x[0] for x in found], pa.int64()))
+                items = pa.array([seeds.value.ids[x[1]] for x in found], kinds.field("item_id").type)
+                rest = [pa.array([x[k] for x in found], kinds.field(k).type) for k in range(2, 6)]
+                yield pa.RecordBatch.from_arrays([ids, items, *rest], kinds.names)
+
+        result = result.unionByName(docs.select("doc_id", F.lower("text").alias("low")).mapInArrow(run, schema))
+    return result
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rare: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without the rows that contaminated_passages() finds an item in, all columns kept; no row moves."""
+    out = docs
+    for seeds in _seeds(docs, benchmark, rare, block_words):
+
+        def run(batches: Iterator[pa.RecordBatch], seeds: Broadcast = seeds) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                clean[[x[0] for x in _find(seeds.value, *text_buffer(b.column(b.num_columns - 1)), threshold)]] = False
+                yield b.select(range(b.num_columns - 1)).filter(pa.array(clean))
+
+        out = out.withColumn("__low", F.lower("text")).mapInArrow(run, docs.schema)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, media, mixing, secret_scan, simhash, suffix_dedup, toxicity
+from . import chat, decontaminate, language_id, media, mixing, secret_scan, simhash, suffix_dedup, toxicity, url_filters
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rows = url_filters.filter_captures(url_filters.captures_of(pages), url_filters.entries_of(pages))
+    found = F.col("url_filter")
+    return rows.select("page_id", "url", found["blocked"].alias("blocked"), found["n_entries"].alias("n_entries"), F.array_join(found["lists"], ",").alias("lists"), found["pattern"].alias("pattern"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -57,4 +64,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.SQL, "op8_chat_format": chat.SQL}
+    return {"op2_url_filters": url_filters.SQL, "op4_mix_sources": mixing.SQL, "op8_chat_format": chat.SQL}
