@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
                 if len(m.langs):
                     sim = _vectors(counts, m.idf) @ m.centroids.T
                     best = sim.argmax(axis=1)
-                    score = np.clip(sim.max(axis=1).astype(np.float64), 0, 1)
+                    score = np.clip(sim.max(axis=1).astype(np.float64), 0, 1).round(6)
                 else:
                     best, score = np.zeros(len(texts), int), np.zeros(len(texts))
                 none = (letters == 0) | (len(m.langs) == 0)

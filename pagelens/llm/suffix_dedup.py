@@ -285,11 +285,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     """
     size = {"length": length, "gram": gram}
     long = texts.where(F.octet_length("text") >= length).select("text")
-    anchors = stored(long.mapInArrow(partial(_find_anchors, **size), ANCHOR))
+    anchors = long.mapInArrow(partial(_find_anchors, **size), ANCHOR)  # found twice, which costs less than keeping all
     shared = anchors.groupBy("gram").count().where("count > 1").select("gram")
-    anchors = materialize(anchors.join(shared, "gram", "left_semi"))
+    anchors = stored(anchors.join(shared, "gram", "left_semi"))
     contexts = anchors.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "pos", "size")).alias("one"))
-    contexts = materialize(contexts.select("gram", "context", (F.col("n") == 1).alias("single"), "one"))
+    contexts = stored(contexts.select("gram", "context", (F.col("n") == 1).alias("single"), "one"))
     whole = anchors.join(contexts.where("not single").select("gram", "context"), ["gram", "context"], "left_semi")
     whole = whole.select("tk", F.greatest(F.lit(0), F.col("pos") - (length - gram)).alias("s"), F.least("size", F.col("pos") + length).alias("e"))
 

@@ -1,0 +1,36 @@
+import pytest
+
+import corpus_pipeline
+from pagelens.llm import decontaminate, queries
+
+
+@pytest.fixture(scope="module")
+def steps(spark, sf_dir, tmp_path_factory):
+    """Each stage's result, written and read again."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs = [spark.read.parquet(f"{sf_dir}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs[-1], sf_dir).write.parquet(str(folder / name))
+        docs.append(spark.read.parquet(str(folder / name)))
+    return docs
+
+
+def test_columns(steps):
+    assert all(d.columns == ["doc_id", "text", "lang", "source", "n_chars"] for d in steps[:-1])
+
+
+def test_stages_take_effect(spark, sf_dir, steps):
+    ids = [{r["doc_id"] for r in d.select("doc_id").collect()} for d in steps]
+    assert all(b <= a for a, b in zip(ids, ids[1:])) and len(ids[1]) >= 0.98 * len(ids[0])
+    least = {r["component_id"] for r in queries.simhash.near_duplicates(steps[1]).collect()}
+    assert ids[2] == least
+    bad = {r["doc_id"] for r in decontaminate.contaminated_passages(steps[2], spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+    assert ids[3] == ids[2] - bad and bad
+    before, after = ({r["doc_id"]: r for r in d.collect()} for d in steps[3:5])
+    spans = {r["doc_id"]: r["spans"] for r in queries.secret_scan.digest(queries.secret_scan.scan_secrets(steps[3])).collect()}
+    assert all((before[i]["text"] != after[i]["text"]) == (spans[i] != "") and after[i]["n_chars"] == len(after[i]["text"]) for i in before)
+    assert steps[5].count() == steps[4].count()
+
+
+def test_run(spark, sf_dir, steps):
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, steps[-1].collect()))
