@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import END, START, WS, count, every, half_up, strip_tags, units
+from ..functions.text import END, START, WS, count, every, half_up, let, strip_tags, units
 from . import page
 
 S = f"[{WS}]"
@@ -27,26 +28,40 @@ GAP = "struct<dimension:string,priority:string,message:string,fix:string>"
 
 
 class Dimension:
-    """Points, signals and gaps of one dimension, collected rule by rule; the first rule of a ladder that fits counts."""
+    """Rules of one dimension; of each rule's ladder the first step that fits gives points, a signal and a gap.
+
+    Every rule is one expression, so a page's text is searched once for each condition that is reached.
+    """
 
     def __init__(self, name: str) -> None:
-        self.name, self.points, self.signals, self.gaps = name, [], [], []
+        self.name, self.rules = name, []
 
     def add(self, *ladder: tuple[Column | None, int, Column | str | None, tuple | None]) -> None:
         """Steps (condition, points, signal, gap); condition None is the last resort. A gap is (priority, message, fix)."""
-        points, signal, gap = F.lit(0), F.lit(None).cast("string"), F.lit(None).cast(GAP)
-        for when, n, said, lack in reversed(ladder):
-            said = F.lit(said) if said is None or isinstance(said, str) else said
-            lacks = F.lit(None).cast(GAP) if lack is None else F.struct(F.lit(self.name).alias("dimension"), F.lit(lack[0]).alias("priority"), (F.lit(lack[1]) if isinstance(lack[1], str) else lack[1]).alias("message"), F.lit(lack[2]).alias("fix"))
-            when = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-            points, signal, gap = F.when(when, n).otherwise(points), F.when(when, said.cast("string")).otherwise(signal), F.when(when, lacks).otherwise(gap)
-        self.points.append(points)
-        self.signals.append(signal)
-        self.gaps.append(gap)
+        self.rules.append(self._case(ladder))
+
+    def add_for(self, value: Column, ladder: Callable[[Column], list[tuple]]) -> None:
+        """A ladder over a value that is computed once."""
+        self.rules.append(let(value, lambda v: self._case(ladder(v))))
+
+    def _case(self, ladder) -> Column:
+        out = self._step(0, None, None)
+        for when, points, signal, gap in reversed(ladder):
+            step = self._step(points, signal, gap)
+            out = step if when is None else F.when(F.coalesce(when, F.lit(False)), step).otherwise(out)
+        return out
+
+    def _step(self, points: int, signal: Column | str | None, gap: tuple | None) -> Column:
+        text = lambda x: x if isinstance(x, Column) else F.lit(x)
+        lack = F.lit(None).cast(GAP) if gap is None else F.struct(F.lit(self.name).alias("dimension"), *[text(x).alias(n) for x, n in zip(gap, ("priority", "message", "fix"))])
+        return F.struct(F.lit(points).alias("points"), text(signal).cast("string").alias("signal"), lack.alias("gap"))
 
     def column(self) -> Column:
-        score = F.least(F.lit(100), reduce(lambda a, b: a + b, self.points)).cast("int")
-        return F.struct(score.alias("score"), F.array_compact(F.array(*self.signals)).alias("signals"), F.array_compact(F.array(*self.gaps)).alias("gaps"))
+        def total(rules: Column) -> Column:
+            score = F.least(F.lit(100), F.aggregate(rules, F.lit(0), lambda a, r: a + r["points"]))
+            return F.struct(score.alias("score"), F.array_compact(F.transform(rules, lambda r: r["signal"])).alias("signals"), F.array_compact(F.transform(rules, lambda r: r["gap"])).alias("gaps"))
+
+        return let(F.array(*self.rules), total)
 
 
 def _said(*parts: Column | str) -> Column:
@@ -73,10 +88,10 @@ def recent(found: Column, as_of: Column, days: int) -> Column:
 
 
 def freshness(text: Column, types: Column, as_of: Column) -> Column:
-    d, found = Dimension("freshness"), dates(text)
+    d = Dimension("freshness")
     old = ("medium", "Fechas detectadas pero >1 año de antigüedad", "Actualizar contenido o publicar contenido nuevo. Los LLMs priorizan contenido reciente.")
     none = ("high", "No se detectan fechas explícitas en el contenido visible", "Añadir fecha de publicación y actualización visible en cada página de contenido.")
-    d.add((recent(found, as_of, 90), 60, "Contenido fresco (fecha últimos 3 meses)", None), (recent(found, as_of, 365), 35, "Fechas del último año detectadas", None), (F.size(found) > 0, 15, None, old), (None, 0, None, none))
+    d.add_for(dates(text), lambda x: [(recent(x, as_of, 90), 60, "Contenido fresco (fecha últimos 3 meses)", None), (recent(x, as_of, 365), 35, "Fechas del último año detectadas", None), (F.size(x) > 0, 15, None, old), (None, 0, None, none)])
     d.add((_any(types, ARTICLES), 25, "Schema con datePublished/dateModified", None), (None, 0, None, ("medium", "No hay schema Article/BlogPosting con fechas estructuradas", "Añadir schema con datePublished y dateModified.")))
     d.add((text.rlike(rf"(?iu)última{S}+actualizaci[oó]n|last{S}+updated|updated{S}+on|actualizado{S}+el"), 15, 'Marker de "última actualización" visible', None))
     return d.column()
@@ -108,11 +123,11 @@ def factuality(text: Column) -> Column:
     measured = rf"(?i)\d+(?:\.\d+)?{S}*(?:kg|km|mph|km/h|ms|s|gb|mb|tb){END}"
     n = count(text, r"\d+(?:\.\d+)?%") + count(text, big) + count(text, measured)
     few = ("high", "Pocos o ningún dato numérico verificable en el contenido", "Los LLMs citan páginas con datos concretos (porcentajes, cifras, mediciones). Añadir estadísticas o datos cuantificables.")
-    d.add((n >= 5, 50, _said(n, " datos numéricos concretos en el contenido"), None), (n >= 2, 30, _said(n, " datos numéricos detectados"), None), (n == 1, 10, None, None), (None, 0, None, few))
+    d.add_for(n, lambda n: [(n >= 5, 50, _said(n, " datos numéricos concretos en el contenido"), None), (n >= 2, 30, _said(n, " datos numéricos detectados"), None), (n == 1, 10, None, None), (None, 0, None, few)])
     d.add((text.rlike(rf"(?iu){START}vs{END}|{START}versus{END}|comparado{S}+con|en{S}+comparación"), 15, "Comparativas detectadas", None))
     cites = count(text, rf"(?iu)seg[uú]n{S}+{NAME}|according{S}+to{S}+{NAME}|fuente:|source:")
     lack = ("medium", 'No se detectan citas explícitas a fuentes ("según X")', 'Atribuir datos a fuentes con frases tipo "según [organismo/estudio]".')
-    d.add((cites >= 2, 25, _said(cites, " citas a fuentes externas"), None), (cites == 1, 12, None, None), (None, 0, None, lack))
+    d.add_for(cites, lambda n: [(n >= 2, 25, _said(n, " citas a fuentes externas"), None), (n == 1, 12, None, None), (None, 0, None, lack)])
     d.add((text.rlike(rf"(?i)(?:entre|from|desde){S}+\d{{4}}{S}+(?:y|to|hasta|and){S}+\d{{4}}"), 10, "Rangos temporales detectados", None))
     return d.column()
 
@@ -123,26 +138,27 @@ def structure(html: Column, heads: Column) -> Column:
     d.add((h2 >= 2, 20, _said(h2, " H2 (estructura clara)"), None), (h2 == 1, 10, None, None), (None, 0, None, ("medium", "Falta jerarquía con H2", "Estructurar el contenido con H2 para secciones principales.")))
     d.add((h3 >= 2, 15, _said(h3, " H3 (subdivisión detallada)"), None))
     n = count(html, f"(?i)<ul{END}") + count(html, f"(?i)<ol{END}")
-    d.add((n >= 3, 20, _said(n, " listas (UL/OL) — formato escaneable"), None), (n >= 1, 12, _said(n, " listas"), None), (None, 0, None, ("medium", "Sin listas en el contenido", "Los LLMs extraen mejor información de listas. Convertir párrafos enumerativos en listas.")))
+    d.add_for(n, lambda n: [(n >= 3, 20, _said(n, " listas (UL/OL) — formato escaneable"), None), (n >= 1, 12, _said(n, " listas"), None), (None, 0, None, ("medium", "Sin listas en el contenido", "Los LLMs extraen mejor información de listas. Convertir párrafos enumerativos en listas."))])
     tables = count(html, f"(?i)<table{END}")
-    d.add((tables >= 1, 15, _said(tables, " tablas (excelente para datos comparativos)"), None))
+    d.add_for(tables, lambda n: [(n >= 1, 15, _said(n, " tablas (excelente para datos comparativos)"), None)])
     paragraphs = every(html, rf"(?i)<p{END}[^>]*>[\s\S]*?</p>")
     average = F.aggregate(paragraphs, F.lit(0).cast("long"), lambda a, p: a + units(strip_tags(p))) / F.nullif(F.size(paragraphs), F.lit(0))
-    d.add((average < 300, 10, "Párrafos cortos (escaneables)", None), (average > 600, 0, None, ("low", "Párrafos muy largos (>600 caracteres promedio)", "Dividir párrafos largos para mejorar escaneabilidad.")))
+    d.add_for(average, lambda x: [(x < 300, 10, "Párrafos cortos (escaneables)", None), (x > 600, 0, None, ("low", "Párrafos muy largos (>600 caracteres promedio)", "Dividir párrafos largos para mejorar escaneabilidad."))])
     return d.column()
 
 
 def citations(html: Column, external: Column) -> Column:
     d = Dimension("citations")
     pattern = "|".join(a.replace(".", r"\.") for a in AUTHORITIES)
-    known, n = F.size(F.filter(external, lambda x: x["href"].rlike(pattern))), F.size(external)
-    d.add(
+    none = ("medium", "Sin enlaces externos a fuentes", "Citar fuentes externas (estudios, medios, instituciones). Mejora E-E-A-T y citabilidad.")
+    n = F.size(external)
+    d.add_for(F.size(F.filter(external, lambda x: x["href"].rlike(pattern))), lambda known: [
         (known >= 3, 60, _said(known, " enlaces a fuentes de autoridad"), None),
         (known >= 1, 30, _said(known, " enlace a fuente de autoridad"), None),
         (n >= 3, 20, _said(n, " enlaces externos (sin dominios de autoridad detectados)"), None),
         (n >= 1, 10, None, None),
-        (None, 0, None, ("medium", "Sin enlaces externos a fuentes", "Citar fuentes externas (estudios, medios, instituciones). Mejora E-E-A-T y citabilidad.")),
-    )
+        (None, 0, None, none),
+    ])
     d.add((html.rlike("(?i)<a[^>]+rel=[\"'][^\"']*nofollow"), 10, 'Uso de rel="nofollow" en enlaces (señal de cuidado editorial)', None))
     d.add((html.rlike(rf"(?iu)<sup{END}[^>]*>{S}*\[?\d+\]?{S}*</sup>|references|referencias|bibliograf[íi]a"), 30, "Sistema de citas/referencias detectado", None))
     return d.column()
@@ -164,7 +180,7 @@ def machine_readable(record: dict[str, Column], types: Column, blocks: Column) -
     d = Dimension("machine_readable")
     d.add((blocks >= 3, 35, _said(blocks, " bloques JSON-LD"), None), (blocks >= 1, 20, _said(blocks, " bloque(s) JSON-LD"), None), (None, 0, None, ("high", "Sin schema JSON-LD", "Añadir al menos Organization + WebSite + (Article/Product según tipo).")))
     fit = F.filter(types, lambda t: t.isin(*LLM_TYPES))
-    d.add((F.size(fit) >= 2, 25, _said("Tipos relevantes para LLMs: ", F.array_join(fit, ", ")), None), (F.size(fit) == 1, 12, None, None))
+    d.add_for(fit, lambda x: [(F.size(x) >= 2, 25, _said("Tipos relevantes para LLMs: ", F.array_join(x, ", ")), None), (F.size(x) == 1, 12, None, None)])
     d.add((record["open_graph"]["ok"], 12, "Open Graph completo", None))
     d.add((record["meta"]["ok"], 8, "Meta description en rango óptimo", None))
     d.add((record["canonical"]["ok"], 8, "Canonical declarado", None))
@@ -182,7 +198,7 @@ def answer_format(html: Column, types: Column) -> Column:
     d.add((html.rlike(rf"(?i)<dl{END}[\s\S]*?</dl>"), 15, "Listas de definición (<dl>) — formato perfecto para LLMs", None))
     d.add((html.rlike(f"(?i)<blockquote{END}"), 10, "Blockquotes presentes", None))
     short = F.size(F.filter(every(html, rf"(?i)<li{END}[^>]*>[\s\S]*?</li>"), lambda x: units(strip_tags(x)) < 200))
-    d.add((short >= 5, 10, _said(short, " bullets con respuestas concisas"), None))
+    d.add_for(short, lambda n: [(n >= 5, 10, _said(n, " bullets con respuestas concisas"), None)])
     return d.column()
 
 
@@ -190,7 +206,8 @@ def with_citability(records: DataFrame, as_of: Column) -> DataFrame:
     """Records with structured data and html, and ``citability``: score, rating, dimensions, signals and gaps.
 
     ``as_of`` is the time by which dates are recent. Gaps stand by priority, then in the order of dimensions and rules.
-    Null where html is null; an empty html scores 0, ``no_data``.
+    Null where html is null; an empty html scores 0, ``no_data``. Persist the result before filtering on it: a filter
+    pushed below these columns would compute them again.
     """
     html, types = F.col("html"), F.coalesce("schema.types", F.expr("cast(array() as array<string>)"))
     r = records.withColumn("visible", page.visible_text(html))
@@ -206,17 +223,23 @@ def with_citability(records: DataFrame, as_of: Column) -> DataFrame:
         "machine_readable": machine_readable(rec, types, F.coalesce("schema.count", F.lit(0))),
         "answer_format": answer_format(html, types),
     }
-    r = r.withColumn("dimensions", F.when(F.coalesce(html, F.lit("")) != "", F.struct(*[c.alias(n) for n, c in made.items()])))
-    dim = F.col("dimensions")
+    empty = F.struct(F.lit(0).alias("score"), F.lit("no_data").alias("rating"), F.lit(None).alias("dimensions"), F.expr("cast(array() as array<struct<dimension:string,message:string>>)").alias("signals"), F.expr(f"cast(array() as array<{GAP}>)").alias("gaps"))
+    full = let(F.struct(*[c.alias(n) for n, c in made.items()]), _compiled)
+    return r.withColumn("citability", F.when(F.coalesce(html, F.lit("")) != "", full).when(html.isNotNull(), empty)).drop("visible")
+
+
+def _compiled(dim: Column) -> Column:
+    """Score, rating, signals and gaps of all dimensions."""
     total = half_up(reduce(lambda a, b: a + b, [dim[n]["score"] * F.lit(float(w)) / 100 for n, w in WEIGHTS.items()])).cast("int")
-    r = r.withColumn("total", total)
-    rating = F.when(F.col("total") >= 75, "excellent").when(F.col("total") >= 55, "good").when(F.col("total") >= 30, "needs_improvement").otherwise("poor")
-    signals = F.concat(*[F.transform(dim[n]["signals"], lambda s: F.struct(F.lit(n).alias("dimension"), s.alias("message"))) for n in WEIGHTS])  # noqa: B023
+    rating = lambda s: F.when(s >= 75, "excellent").when(s >= 55, "good").when(s >= 30, "needs_improvement").otherwise("poor")
+    signals = F.concat(*[_named(n, dim[n]["signals"]) for n in WEIGHTS])
     gaps = F.concat(*[dim[n]["gaps"] for n in WEIGHTS])
     ordered = F.concat(*[_of(gaps, p) for p in PRIORITY])
-    empty = F.struct(F.lit(0).alias("score"), F.lit("no_data").alias("rating"), F.lit(None).alias("dimensions"), F.expr("cast(array() as array<struct<dimension:string,message:string>>)").alias("signals"), F.expr(f"cast(array() as array<{GAP}>)").alias("gaps"))
-    full = F.struct(F.col("total").alias("score"), rating.alias("rating"), dim.alias("dimensions"), signals.alias("signals"), ordered.alias("gaps"))
-    return r.withColumn("citability", F.when(dim.isNotNull(), full).when(html.isNotNull(), empty)).drop("visible", "dimensions", "total")
+    return let(total, lambda s: F.struct(s.alias("score"), rating(s).alias("rating"), dim.alias("dimensions"), signals.alias("signals"), ordered.alias("gaps")))
+
+
+def _named(name: str, signals: Column) -> Column:
+    return F.transform(signals, lambda s: F.struct(F.lit(name).alias("dimension"), s.alias("message")))
 
 
 def _of(gaps: Column, priority: str) -> Column:

@@ -49,11 +49,10 @@ def quick_html(html: Column, url: Column) -> Column:
     return F.when(filled(html), record)
 
 
-def quick_links(html: Column, url: Column) -> Column:
-    """Numbers of internal and external links; all zero where the page's URL is invalid."""
+def quick_links(html: Column, url: Column, home: Column) -> Column:
+    """Numbers of internal and external links; all zero where ``home``, the origin of the page's URL, is null."""
     hrefs = F.filter(every(html, f"(?i)<a[{WS}][^>]*href=[\"']([^\"']+)[\"']", 1), lambda h: ~h.rlike("^(?:#|mailto:|tel:|javascript:)"))
     there = F.filter(urls.resolve_all(url, hrefs), lambda h: h.isNotNull())
-    home = urls.origin(urls.normalize(url))
     internal = F.when(home.isNull(), 0).otherwise(F.size(F.filter(there, lambda h: urls.origin(h) == home)))
     total = F.when(home.isNull(), 0).otherwise(F.size(there))
     return F.when(filled(html), F.struct(internal.alias("internal"), (total - internal).alias("external"), total.alias("total")))
@@ -90,13 +89,14 @@ def aux_facts(files: DataFrame) -> DataFrame:
 
 
 def quick_audit(pages: DataFrame, files: DataFrame, speed: DataFrame) -> DataFrame:
-    """One row per page of ``pages(site, url, html, json_ld)``: its record, its site's files and its speed report.
+    """One row per page of ``pages(site, url, html, schema)``: its record, its site's files and its speed report.
 
     ``speed(url, pagespeed, errors)``; equi-joins on url and site. What is missing is named in ``errors``, in the order
     speed, html.
     """
     no_html = F.when(~filled(F.col("html")), F.array(F.lit("HTML fetch: failed"))).otherwise(F.expr("cast(array() as array<string>)"))
-    p = pages.select("site", "url", quick_html(F.col("html"), F.col("url")).alias("html_analysis"), quick_links(F.col("html"), F.col("url")).alias("links"), "schema", no_html.alias("no_html"))
+    p = pages.withColumn("home", urls.origin(urls.normalize("url")))
+    p = p.select("site", "url", quick_html(F.col("html"), F.col("url")).alias("html_analysis"), quick_links(F.col("html"), F.col("url"), F.col("home")).alias("links"), "schema", no_html.alias("no_html"))
     timeout = F.array(F.lit("PageSpeed mobile: timeout"), F.lit("PageSpeed desktop: timeout"))
     rows = p.join(speed.select("url", "pagespeed", "errors"), "url", "left").join(aux_facts(files), "site", "left")
     return rows.select("site", "url", "html_analysis", "links", "schema", "pagespeed", "robots", "sitemap", "llms", F.concat(F.coalesce("errors", timeout), "no_html").alias("errors"))

@@ -15,7 +15,7 @@ def complete_records(pages: DataFrame, as_of: Column) -> DataFrame:
 
 
 def site_report(p: DataFrame) -> DataFrame:
-    """One row per site from slim records: summary, issues, samples, link graph and schema types.
+    """One row per site from slim records, persisted: summary, issues, samples, link graph and schema types.
 
     Every part is aggregated by site before the equi-joins, so these move a row per site and part.
     """
