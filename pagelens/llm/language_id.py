@@ -129,6 +129,19 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _sample(rows: DataFrame, max_rows: int) -> DataFrame:
+    """doc_ids of at most ``max_rows`` rows, evenly by language, those of the least hashes.
+
+    A language's count tells how small a hash must about be, so few rows are left when each language is ranked.
+    """
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = max(1, max_rows // max(1, sizes.count()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    few = rows.join(sizes, "lang").where(place * F.col("n") <= 1.25 * share + 50)
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("doc_id").distinct()
+
+
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, centroids: int = CENTROIDS) -> Model:
     """A model from the learnable rows of ``docs(doc_id, text, lang)`` with a lang and a text.
 
@@ -136,9 +149,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, centroids: int = CENTROIDS) -
     language, chosen by a hash of doc_id. A table with no such row gives a model that leaves all undetermined.
     """
     rows = docs.select("doc_id", "text", "lang").where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = max(1, rows.select("lang").distinct().count())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(1, max_rows // langs)).select("doc_id").distinct()
+    chosen = _sample(rows.select("doc_id", "lang"), max_rows)
     df = {r["dim"]: r["df"] for r in document_frequencies(rows).collect()}  # DIMS + 1 rows
     n = df.pop(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(DIMS)]))).astype(np.float32) + np.float32(1)

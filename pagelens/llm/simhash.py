@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_groups, text_buffer
+from .common import materialize, text_buffer
 from .components import connected_components
 
 SHINGLE_WORDS = 3
