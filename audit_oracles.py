@@ -505,4 +505,8 @@ d0 AS (SELECT DISTINCT s.site, CASE WHEN (SELECT count(*) FROM x WHERE x.site =
         "ps_record": runs + f"""SELECT url, 'acme' AS client, 'r1' AS run_id, m IS NOT NULL AS has_mobile, d IS NOT NULL AS has_desktop, CASE WHEN m IS NULL THEN -1 ELSE {opened} END AS opportunities,
           CASE WHEN m IS NULL THEN -1 ELSE 1 + ((m->'lighthouseResult'->'audits'->'meta-description'->>'score')::DOUBLE <> 1)::INT END AS seo_issues FROM u""",
     }
+    gaps = " UNION ALL ".join(f"SELECT site, {q(n)} AS dimension, {n}_gaps AS n FROM c" for n in DIMENSIONS)
+    out["citability_gaps"] = BASE + CITED + f"SELECT site, dimension, sum(n)::BIGINT AS n FROM ({gaps}) GROUP BY ALL HAVING sum(n) > 0"
+    out["quick_audit"] = f"""SELECT e.url, a.title, b.total AS links, d.n AS blocks, p.mobile AS performance, f.robots, p.errors FROM ({fixture.duck(fixture.PAGES)}) e
+      JOIN ({out["quick_html"]}) a ON a.seq = e.seq JOIN ({out["quick_links"]}) b ON b.seq = e.seq JOIN ({out["quick_schema"]}) d ON d.seq = e.seq JOIN ({out["ps_summary"]}) p ON p.url = e.url JOIN ({out["aux_file_facts"]}) f ON f.site = e.site"""
     return {name: _spelled(sql) for name, sql in out.items()}

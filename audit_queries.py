@@ -295,7 +295,7 @@ def citability_score(spark, sf_dir):
 @query
 def citability_gaps(spark, sf_dir):
     g = complete(spark, sf_dir).select("site", F.explode("citability.gaps").alias("g"))
-    return g.groupBy("site", F.col("g.dimension").alias("dimension"), F.col("g.priority").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+    return g.groupBy("site", F.col("g.dimension").alias("dimension")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- sites ----
@@ -388,8 +388,7 @@ def crawl_report(spark, sf_dir):
 
 
 def crawlable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = page.read_pages(pages(spark, sf_dir))
-    return s.select("site", F.coalesce(urls.strip_hash(urls.normalize("url")), F.col("url")).alias("url"), F.concat("site", F.lit("/")).alias("start_url"), F.when(F.col("ok"), F.col("html")).alias("html"))
+    return discovery.crawlable(page.read_pages(pages(spark, sf_dir)))
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from ..functions.text import WS, every
 from ..functions.urls import is_asset, normalize, origin, resolve_all, strip_hash
 
@@ -26,23 +27,29 @@ def expand(sitemaps: DataFrame, name: str, max_urls: int = MAX_URLS) -> DataFram
     twice ``max_urls``, no further child of that index is read. Documents that are missing give none.
     """
     docs = sitemap_locs(sitemaps.dropDuplicates(["site", "url"]))
-    docs = docs.where(~F.col("is_index") | (F.col("pos") < CHILDREN))
+    docs = settled(docs.where(~F.col("is_index") | (F.col("pos") < CHILDREN)))
     at = docs.where(F.col("url") == F.concat("site", F.lit(f"/{name}"))).select("site", F.array("pos").alias("ord"), "is_index", "loc")
     leaves = at.where("not is_index")
     for _ in range(INDEX_DEPTH):
         at = at.where("is_index").select("site", "ord", F.col("loc").alias("url")).join(docs, ["site", "url"]).select("site", F.concat("ord", F.array("pos")).alias("ord"), "is_index", "loc")
         leaves = leaves.unionByName(at.where("not is_index"))
-    leaves = leaves.select("site", "ord", "loc")
+    leaves = settled(leaves.select("site", "ord", "loc"))
     for level in range(INDEX_DEPTH, 0, -1):  # inner indexes stop first
         child, parent = F.slice("ord", 1, level), F.slice("ord", 1, level - 1)
         inside = F.size("ord") > level
         sizes = leaves.where(inside).groupBy("site", child.alias("child")).agg(F.count(F.lit(1)).alias("n"), F.any_value(parent).alias("parent"))
         before = F.sum("n").over(W.partitionBy("site", "parent").orderBy("child").rowsBetween(W.unboundedPreceding, -1))
         stopped = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") >= 2 * max_urls).select("site", "child")
-        leaves = leaves.withColumn("child", F.when(inside, child)).join(stopped, ["site", "child"], "left_anti").drop("child")
+        leaves = settled(leaves.withColumn("child", F.when(inside, child)).join(stopped, ["site", "child"], "left_anti").drop("child"))
     return leaves
 
 
+def crawlable(snapshot: DataFrame) -> DataFrame:
+    """Pages of read_pages() as a crawl sees them: standard URLs, each site's start, html of ok pages only."""
+    url = F.coalesce(strip_hash(normalize("url")), F.col("url"))
+    return snapshot.select("site", url.alias("url"), F.concat("site", F.lit("/")).alias("start_url"), F.when(F.col("ok"), F.col("html")).alias("html"))
+
+
 def crawl(pages: DataFrame, max_urls: int = MAX_URLS) -> DataFrame:
     """``(site, ord, url)``: URLs found from each site's start, breadth first, of the same origin and no assets.
 
@@ -54,17 +61,18 @@ def crawl(pages: DataFrame, max_urls: int = MAX_URLS) -> DataFrame:
     base = pages.select("site", "url", F.when(F.coalesce("html", F.lit("")) != "", every(F.col("html"), CRAWL_LINK, 1)).alias("hrefs")).dropDuplicates(["site", "url"])
     links = base.select("site", "url", F.posexplode(resolve_all("url", "hrefs")).alias("pos", "href")).where("href is not null")
     links = links.select("site", F.col("url").alias("src"), "pos", strip_hash(F.col("href")).alias("href"), origin(F.col("href")).alias("o")).where((F.col("o") == F.col("site")) & ~is_asset(F.col("href"))).drop("o")
-    found = pages.select("site", F.col("start_url").alias("url")).where("url is not null").distinct().withColumn("ord", F.expr("cast(array() as array<int>)"))
+    links = settled(links)  # narrow; html isn't parsed again
+    found = settled(pages.select("site", F.col("start_url").alias("url")).where("url is not null").distinct().withColumn("ord", F.expr("cast(array() as array<int>)")))
     frontier = found
     for _ in range(CRAWL_DEPTH + 1):
         reach = frontier.join(links, (frontier.site == links.site) & (frontier.url == links.src)).select(frontier.site, F.concat("ord", F.array("pos")).alias("ord"), "href", "src")
         first = reach.groupBy("site", "href").agg(F.min(F.struct("ord", "src")).alias("f")).select("site", F.col("href").alias("url"), "f.ord", "f.src")
-        new = first.join(found.select("site", "url"), ["site", "url"], "left_anti")
+        new = settled(first.join(found.select("site", "url"), ["site", "url"], "left_anti"))
         seen = found.groupBy("site").agg(F.count(F.lit(1)).alias("known"))
         per_page = new.groupBy("site", "src").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("page_ord"))
         earlier = F.coalesce(F.sum("n").over(W.partitionBy("site").orderBy("page_ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         read = per_page.withColumn("earlier", earlier).join(seen, "site").where(F.col("earlier") + F.col("known") < max_urls).select("site", "src")
-        frontier = new.join(read, ["site", "src"], "left_semi").select("site", "url", "ord")
+        frontier = settled(new.join(read, ["site", "src"], "left_semi").select("site", "url", "ord"))
         found = found.unionByName(frontier)
     order = W.partitionBy("site").orderBy(F.size("ord"), "ord")
     return found.select("site", (F.row_number().over(order) - 1).alias("ord"), "url")
@@ -80,6 +88,7 @@ def discover(pages: DataFrame, sitemaps: DataFrame, max_urls: int = MAX_URLS) ->
     sizes = [r.groupBy("site").agg(F.count(F.lit(1)).alias(f"n_{n}")) for n, r in parts]
     chosen = sites.join(sizes[0], "site", "left").join(sizes[1], "site", "left")
     chosen = chosen.select("site", F.when(F.col("n_sitemap") >= ENOUGH, "sitemap").when(F.col("n_sitemap_index") >= ENOUGH, "sitemap_index").otherwise("crawl").alias("source"))
+    chosen = settled(chosen)  # a row a site
     listed = [r.join(chosen.where(F.col("source") == n), "site").select("site", "source", "ord", F.col("loc").alias("url")) for n, r in parts]
     walked = crawl(pages.join(chosen.where("source = 'crawl'").select("site"), "site", "left_semi"), max_urls).select("site", F.lit("crawl").alias("source"), F.array("ord").alias("ord"), "url")
     rows = listed[0].unionByName(listed[1]).unionByName(walked)

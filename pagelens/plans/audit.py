@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from ..operators import citability, discovery, jsonld, llmstxt, page, site
 
 
@@ -42,7 +43,7 @@ def site_report(p: DataFrame) -> DataFrame:
 
 def crawl_report(pages: DataFrame, sitemaps: DataFrame, as_of: Column, max_urls: int = discovery.MAX_URLS) -> DataFrame:
     """Discovery facts, site report and suggested llms.txt of each site, over the discovered pages that were fetched."""
-    found = discovery.discover(pages.withColumns({"start_url": F.concat("site", F.lit("/"))}), sitemaps, max_urls)
+    found = settled(discovery.discover(discovery.crawlable(page.read_pages(pages)), sitemaps, max_urls))
     chosen = discovery.cap(found, max_urls).select("site", "url", F.col("ord").cast("bigint").alias("place"))
     kept = site.dedupe(pages).select("site", "seq", F.col("url").alias("own_url"), F.col("clean_url").alias("url")).join(chosen, ["site", "url"])
     snapshot = pages.join(kept.select("site", F.col("own_url").alias("url"), "seq"), ["site", "url", "seq"], "left_semi")
