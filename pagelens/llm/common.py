@@ -108,18 +108,38 @@ for _b in range(256):
         _FOLD[_b] = _b
 
 
+#: Bytes of text that are hashed in one go; a longer stretch only where no word ends.
+STRETCH = 1 << 22
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Alphanumeric words of concatenated texts: (hash, row, start, end), in text order. Words never cross rows."""
-    folded = _FOLD[data]
+    parts, lo = [], 0
+    while lo < len(data):
+        hi = min(lo + STRETCH, len(data))
+        if hi < len(data):  # back to a separator, else on to the next
+            gap = np.flatnonzero(_FOLD[data[lo:hi]] == 0)
+            if len(gap):
+                hi = lo + int(gap[-1]) + 1
+            else:
+                gap = np.flatnonzero(_FOLD[data[hi:]] == 0)
+                hi = hi + int(gap[0]) + 1 if len(gap) else len(data)
+        parts.append(_words(data, offsets, lo, hi))
+        lo = hi
+    if not parts:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+    folded = _FOLD[data[lo:hi]]
     inside = folded != 0
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    before = np.concatenate(([False], inside[:-1])) if len(inside) else inside
-    start = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.concatenate((inside[1:], [False])) if len(inside) else inside
-    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    row = np.searchsorted(offsets, start, "right") - 1
-    return substring_hash(prefix_hash(folded), start, end), row, start, end
+    edge = np.zeros(hi - lo + 1, bool)
+    near = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")]
+    edge[near - lo] = True
+    start = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | edge[:-1]))
+    end = np.flatnonzero(inside & (~np.concatenate((inside[1:], [False])) | edge[1:])) + 1
+    return substring_hash(prefix_hash(folded), start, end), np.searchsorted(offsets, start + lo, "right") - 1, start + lo, end + lo
 
 
 def chain(*hashes: np.ndarray) -> np.ndarray:

@@ -23,6 +23,8 @@ MAX_ROWS = 4000
 #: A text is rejected if its similarity is under this part of the lowest that fitted texts of like length reach.
 REJECT = 0.5
 LENGTH_BINS = 12
+#: Characters of a text that are looked at in one go.
+STRETCH = 1 << 20
 UNDETERMINED = "und"
 _LETTERS: list[np.ndarray] = []
 
@@ -39,11 +41,25 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in pieces of STRETCH characters, cut where no letter stands if there is such a place nearby."""
+    lo = 0
+    while len(text) - lo > STRETCH:
+        hi = next((i for i in range(lo + STRETCH, lo + STRETCH - 1000, -1) if not text[i].isalpha()), lo + STRETCH)
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:]
+
+
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Counts ``(text, dimension)`` of hashed character n-grams, and each text's number of letters.
 
-    Letters are lower-cased; whatever stands between them counts as one space. N-grams don't cross texts.
+    Letters are lower-cased; whatever stands between them counts as one space. N-grams don't cross texts. A long text
+    is counted piece by piece.
     """
+    if len(texts) == 1 and len(texts[0]) > STRETCH:
+        counted = [gram_counts([p]) for p in _pieces(texts[0])]
+        return sum(c for c, _ in counted), sum(n for _, n in counted)
     joined = [f" {t.lower()} \0" for t in texts]
     cp = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(texts)), [len(x) for x in joined])

@@ -36,11 +36,13 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle_words, len(words))
     hash64 = xxhash.xxh64_intdigest
-    h = np.array([hash64(joined[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+    n = len(words) - k + 1
     ones = np.zeros(64, np.int64)
-    for part in np.array_split(h, len(h) // 8192 + 1):
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    for lo in range(0, n, 1 << 14):
+        pairs = zip(starts[lo : min(n, lo + (1 << 14))].tolist(), ends[lo + k - 1 : lo + (1 << 14) + k - 1].tolist())
+        h = np.array([hash64(joined[a:b], 42) for a, b in pairs], np.uint64)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
