@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.text import WS, count, decode, every, filled, first, strip_tags, trim, units
+from ..functions.text import WS, count, decode, every, filled, first, let, strip_tags, trim, units
 
 TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title>"
 IMAGE = r"(?i)<img[^>]*>"
@@ -26,8 +26,13 @@ def title(html: Column) -> Column:
 
 
 def measured(value: Column, least: int, most: int) -> Column:
-    length = F.coalesce(units(value), F.lit(0))
-    return F.struct(value.alias("value"), length.alias("length"), (filled(value) & length.between(least, most)).alias("ok"))
+    """``{value,length,ok}``; the value is looked for once."""
+
+    def record(v: Column) -> Column:
+        length = F.coalesce(units(v), F.lit(0))
+        return F.struct(v.alias("value"), length.alias("length"), (filled(v) & length.between(least, most)).alias("ok"))
+
+    return let(value, record)
 
 
 def meta(html: Column, name: str) -> Column:
@@ -43,25 +48,23 @@ def description(html: Column) -> Column:
 def headings(html: Column) -> Column:
     """Texts of h1 to h6, empty ones dropped, and counts; ok with a single h1."""
     found = {f"h{i}": F.filter(F.transform(every(html, rf"(?i)<h{i}[^>]*>([\s\S]*?)</h{i}>", 1), lambda x: trim(decode(strip_tags(x)))), lambda x: x != "") for i in range(1, 7)}
-    counts = [F.size(found[f"h{i}"]).alias(f"h{i}_count") for i in (1, 2, 3)]
-    return F.struct(*[c.alias(n) for n, c in found.items()], *counts, (F.size(found["h1"]) == 1).alias("ok"))
+    counted = lambda h: F.struct(*[h[n].alias(n) for n in found], *[F.size(h[f"h{i}"]).alias(f"h{i}_count") for i in (1, 2, 3)], (F.size(h["h1"]) == 1).alias("ok"))
+    return let(F.struct(*[c.alias(n) for n, c in found.items()]), counted)
 
 
 def canonical(html: Column) -> Column:
-    value = F.coalesce(*[first(html, p) for p in CANONICAL])
-    return F.struct(value.alias("value"), value.isNotNull().alias("ok"))
+    return let(F.coalesce(*[first(html, p) for p in CANONICAL]), lambda v: F.struct(v.alias("value"), v.isNotNull().alias("ok")))
 
 
 def hreflang(html: Column) -> Column:
     """``{values,count}``: alternates with rel first, then those with hreflang first."""
     pairs = [F.zip_with(every(html, p, 1), every(html, p, 2), lambda a, b: F.struct(a.alias("lang"), b.alias("href"))) for p in HREFLANG]
-    values = F.concat(*pairs)
-    return F.struct(values.alias("values"), F.size(values).alias("count"))
+    return let(F.concat(*pairs), lambda v: F.struct(v.alias("values"), F.size(v).alias("count")))
 
 
 def open_graph(html: Column) -> Column:
-    parts = {n: meta(html, f"og:{n}") for n in ("title", "description", "image", "type", "url")}
-    return F.struct(*[c.alias(n) for n, c in parts.items()], (filled(parts["title"]) & filled(parts["description"])).alias("ok"))
+    names = ("title", "description", "image", "type", "url")
+    return let(F.struct(*[meta(html, f"og:{n}").alias(n) for n in names]), lambda p: F.struct(*[p[n].alias(n) for n in names], (filled(p["title"]) & filled(p["description"])).alias("ok")))
 
 
 def image_tags(html: Column) -> Column:
@@ -74,18 +77,20 @@ def image_tags(html: Column) -> Column:
     return F.transform(every(html, IMAGE), one)
 
 
-def images(html: Column, url: Column) -> Column:
-    """Totals, images without alt text or source, and sources of the first five that lack alt text."""
-    tags = image_tags(html)
-    bare = F.filter(tags, lambda t: t["no_alt"])
-    samples = F.slice(F.filter(F.transform(bare, lambda t: t["src"]), lambda s: s.isNotNull()), 1, 5)
-    return F.struct(
-        F.size(tags).alias("total"),
-        F.size(bare).alias("without_alt"),
-        F.size(F.filter(tags, lambda t: t["src"].isNull())).alias("without_src"),
-        urls.resolve_all(url, samples).alias("samples_without_alt"),
-        (F.size(bare) == 0).alias("ok"),
-    )
+def image_facts(html: Column) -> Column:
+    """Totals, images without alt text or source, and sources as written of the first five that lack alt text."""
+
+    def facts(tags: Column) -> Column:
+        bare = F.filter(tags, lambda t: t["no_alt"])
+        samples = F.slice(F.filter(F.transform(bare, lambda t: t["src"]), lambda s: s.isNotNull()), 1, 5)
+        return F.struct(F.size(tags).alias("total"), F.size(bare).alias("without_alt"), F.size(F.filter(tags, lambda t: t["src"].isNull())).alias("without_src"), samples.alias("samples"))
+
+    return let(image_tags(html), facts)
+
+
+def images(facts: Column, url: Column) -> Column:
+    """image_facts() with the samples resolved against the page's URL."""
+    return F.struct(facts["total"].alias("total"), facts["without_alt"].alias("without_alt"), facts["without_src"].alias("without_src"), urls.resolve_all(url, facts["samples"]).alias("samples_without_alt"), (facts["without_alt"] == 0).alias("ok"))
 
 
 def raw_links(html: Column) -> Column:
@@ -95,17 +100,18 @@ def raw_links(html: Column) -> Column:
     return F.filter(pairs, keep)
 
 
-def links(html: Column, url: Column) -> Column:
-    """Links resolved against the page's URL, split by whether their origin is the page's; in order, repeats kept."""
-    raw = raw_links(html)
+def links(raw: Column, url: Column) -> Column:
+    """raw_links() resolved against the page's URL, in order, repeats kept; those that can't be are left out."""
     pairs = F.zip_with(urls.resolve_all(url, F.transform(raw, lambda p: p["href"])), raw, lambda h, p: F.struct(h.alias("href"), p["anchor"].alias("anchor")))
     return F.filter(pairs, lambda p: p["href"].isNotNull())
 
 
 def split_links(found: Column, home: Column) -> Column:
-    internal = F.filter(found, lambda p: F.coalesce(urls.origin(p["href"]) == home, F.lit(False)))
-    external = F.filter(found, lambda p: ~F.coalesce(urls.origin(p["href"]) == home, F.lit(False)))
-    return F.struct(internal.alias("internal"), external.alias("external"), F.size(internal).alias("internal_count"), F.size(external).alias("external_count"))
+    """Links by whether their origin is the page's, and their numbers."""
+    marked = F.transform(found, lambda p: F.struct(p.alias("link"), F.coalesce(urls.origin(p["href"]) == home, F.lit(False)).alias("inside")))
+    side = lambda rows, inside: F.transform(F.filter(rows, lambda r: r["inside"] == inside), lambda r: r["link"])
+    both = let(marked, lambda rows: F.struct(side(rows, True).alias("internal"), side(rows, False).alias("external")))
+    return let(both, lambda s: F.struct(s["internal"].alias("internal"), s["external"].alias("external"), F.size(s["internal"]).alias("internal_count"), F.size(s["external"]).alias("external_count")))
 
 
 def word_count(html: Column) -> Column:
@@ -165,7 +171,8 @@ def page_records(snapshot: DataFrame) -> DataFrame:
     """
     html, url = F.col("html"), F.col("url")
     there = F.coalesce(html, F.lit("")) != ""
-    linked = snapshot.withColumn("link_list", F.when(there, links(html, url)))
+    raw = snapshot.withColumns({"raw": F.when(there, raw_links(html)), "image_facts": F.when(there, image_facts(html))})
+    linked = raw.withColumn("link_list", links(F.col("raw"), url))
     signal = {
         "title": title(html),
         "meta": description(html),
@@ -174,7 +181,7 @@ def page_records(snapshot: DataFrame) -> DataFrame:
         "hreflang": hreflang(html),
         "open_graph": open_graph(html),
         "twitter_card": meta(html, "twitter:card"),
-        "images": images(html, url),
+        "images": images(F.col("image_facts"), url),
         "links": split_links(F.col("link_list"), F.col("own_origin")),
         "word_count": word_count(html),
         "html_length": units(html),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.text import WS, every, filled, first, strip_tags, trim, units
+from ..functions.text import WS, every, filled, first, let, strip_tags, trim, units
 from .page import measured
 
 
@@ -21,32 +21,41 @@ def _meta(html: Column, key: str, name: str) -> Column:
 
 def quick_html(html: Column, url: Column) -> Column:
     """The lenient record of a page, but for links and structured data; null without html."""
-    canonical = trim(first(html, f"(?i)<link[{WS}]+rel=[\"']canonical[\"'][{WS}]+href=[\"']([^\"']*)[\"']"))
-    heads = {f"h{i}": F.filter(F.transform(every(html, rf"(?i)<h{i}[^>]*>([\s\S]*?)</h{i}>", 1), lambda x: trim(_text(x))), lambda x: x != "") for i in (1, 2, 3)}
-    langs = every(html, "(?i)<link[^>]+hreflang=[\"']([^\"']+)[\"'][^>]*>", 1)
-    og = {n: F.nullif(_meta(html, "property", f"og:{n}"), F.lit("")) for n in ("title", "description", "image", "type")}
-    card = F.nullif(_meta(html, "name", "twitter:card"), F.lit(""))
-    tags = every(html, f"(?i)<img[{WS}][^>]*>")
-    bare = F.size(F.filter(tags, lambda t: ~t.rlike(f"(?i)[{WS}]alt[{WS}]*=")))
-    record = F.struct(
-        measured(trim(first(html, "(?i)<title[^>]*>([^<]*)</title>")), 10, 70).alias("title"),
-        measured(trim(_meta(html, "name", "description")), 50, 165).alias("meta_description"),
-        F.struct(canonical.alias("value"), filled(canonical).alias("ok")).alias("canonical"),
-        F.struct(*[c.alias(n) for n, c in heads.items()], *[F.size(c).alias(f"{n}_count") for n, c in heads.items()], (F.size(heads["h1"]) == 1).alias("ok")).alias("headings"),
-        F.struct(langs.alias("values"), F.size(langs).alias("count"), (F.size(langs) >= 1).alias("ok")).alias("hreflang"),
-        F.struct(*[c.alias(n) for n, c in og.items()], (filled(og["title"]) & filled(og["description"]) & filled(og["image"])).alias("ok")).alias("open_graph"),
-        F.struct(card.alias("value"), filled(card).alias("ok")).alias("twitter_card"),
-        F.struct(F.size(tags).alias("total"), bare.alias("without_alt"), ((F.size(tags) > 0) & (bare == 0)).alias("ok")).alias("images"),
-        F.struct(
-            url.startswith("https://").alias("https"),
-            html.rlike(f"(?i)<meta[{WS}]+name=[\"']viewport[\"']").alias("has_viewport"),
-            html.rlike(f"(?i)<meta[{WS}]+charset=").alias("has_charset"),
-            first(html, "(?i)<html[^>]+lang=[\"']([^\"']+)[\"']").alias("lang"),
-            _meta(html, "name", "robots").alias("robots_meta"),
-        ).alias("technical"),
-        units(html).alias("html_length"),
+    found = {
+        "title": trim(first(html, "(?i)<title[^>]*>([^<]*)</title>")),
+        "description": trim(_meta(html, "name", "description")),
+        "canonical": trim(first(html, f"(?i)<link[{WS}]+rel=[\"']canonical[\"'][{WS}]+href=[\"']([^\"']*)[\"']")),
+        **{f"h{i}": F.filter(F.transform(every(html, rf"(?i)<h{i}[^>]*>([\s\S]*?)</h{i}>", 1), lambda x: trim(_text(x))), lambda x: x != "") for i in (1, 2, 3)},
+        "langs": every(html, "(?i)<link[^>]+hreflang=[\"']([^\"']+)[\"'][^>]*>", 1),
+        **{f"og_{n}": F.nullif(_meta(html, "property", f"og:{n}"), F.lit("")) for n in ("title", "description", "image", "type")},
+        "card": F.nullif(_meta(html, "name", "twitter:card"), F.lit("")),
+        "tags": every(html, f"(?i)<img[{WS}][^>]*>"),
+    }
+    technical = F.struct(
+        url.startswith("https://").alias("https"),
+        html.rlike(f"(?i)<meta[{WS}]+name=[\"']viewport[\"']").alias("has_viewport"),
+        html.rlike(f"(?i)<meta[{WS}]+charset=").alias("has_charset"),
+        first(html, "(?i)<html[^>]+lang=[\"']([^\"']+)[\"']").alias("lang"),
+        _meta(html, "name", "robots").alias("robots_meta"),
     )
-    return F.when(filled(html), record)
+
+    def record(f: Column) -> Column:
+        heads, og = {f"h{i}": f[f"h{i}"] for i in (1, 2, 3)}, {n: f[f"og_{n}"] for n in ("title", "description", "image", "type")}
+        total, bare = F.size(f["tags"]), F.size(F.filter(f["tags"], lambda t: ~t.rlike(f"(?i)[{WS}]alt[{WS}]*=")))
+        return F.struct(
+            measured(f["title"], 10, 70).alias("title"),
+            measured(f["description"], 50, 165).alias("meta_description"),
+            F.struct(f["canonical"].alias("value"), filled(f["canonical"]).alias("ok")).alias("canonical"),
+            F.struct(*[c.alias(n) for n, c in heads.items()], *[F.size(c).alias(f"{n}_count") for n, c in heads.items()], (F.size(heads["h1"]) == 1).alias("ok")).alias("headings"),
+            F.struct(f["langs"].alias("values"), F.size(f["langs"]).alias("count"), (F.size(f["langs"]) >= 1).alias("ok")).alias("hreflang"),
+            F.struct(*[c.alias(n) for n, c in og.items()], (filled(og["title"]) & filled(og["description"]) & filled(og["image"])).alias("ok")).alias("open_graph"),
+            F.struct(f["card"].alias("value"), filled(f["card"]).alias("ok")).alias("twitter_card"),
+            F.struct(total.alias("total"), bare.alias("without_alt"), ((total > 0) & (bare == 0)).alias("ok")).alias("images"),
+            technical.alias("technical"),
+            units(html).alias("html_length"),
+        )
+
+    return F.when(filled(html), let(F.struct(*[c.alias(n) for n, c in found.items()]), record))
 
 
 def quick_links(html: Column, url: Column, home: Column) -> Column:

@@ -8,9 +8,6 @@ from pagelens.plans.audit import complete_records
 from pagelens.sources import tables
 from pagelens.streaming.pages import stream_records
 
-AS_OF = F.lit
-
-
 def one(spark, column, html, url="https://s.example/d/p"):
     return spark.createDataFrame([(html, url)], "html string, url string").select(column.alias("x")).first()["x"]
 
@@ -35,13 +32,13 @@ def test_description(spark, n, ok):
 
 
 def test_images(spark):
-    x = one(spark, page.images(F.col("html"), F.col("url")), '<img alt=x src="a"><img src="b c" alt=" "><img alt="ok"><IMG src="//h/p" alt="y">')
+    x = one(spark, page.images(page.image_facts(F.col("html")), F.col("url")), '<img alt=x src="a"><img src="b c" alt=" "><img alt="ok"><IMG src="//h/p" alt="y">')
     assert (x["total"], x["without_alt"], x["without_src"], x["samples_without_alt"]) == (4, 2, 1, ["https://s.example/d/a", "https://s.example/d/b%20c"])
 
 
 def test_links(spark):
     html = '<a href="MAILTO:a@b">1</a><a href=" #a">2</a><a href="//h/p">3 &amp; <b>x</b></a><a href="?q">4</a><article x href="/art">5</a><a href="tel:1">6</a><a href="/unclosed">'
-    x = one(spark, page.links(F.col("html"), F.col("url")), html)
+    x = one(spark, page.links(page.raw_links(F.col("html")), F.col("url")), html)
     assert [(r["href"], r["anchor"]) for r in x] == [("mailto:a@b", "1"), ("https://h/p", "3 & x"), ("https://s.example/d/p?q", "4"), ("https://s.example/art", "5")]
 
 
