@@ -286,7 +286,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     size = {"length": length, "gram": gram}
     long = texts.where(F.octet_length("text") >= length).select("text")
     anchors = long.mapInArrow(partial(_find_anchors, **size), ANCHOR)  # found twice, which costs less than keeping all
-    shared = anchors.groupBy("gram").count().where("count > 1").select("gram")
+    # kept apart from the joins that follow, so that these are plain ones whose crowded partitions Spark can split
+    shared = materialize(anchors.groupBy("gram").count().where("count > 1").select("gram"))
     anchors = stored(anchors.join(shared, "gram", "left_semi"))
     contexts = anchors.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "pos", "size")).alias("one"))
     contexts = stored(contexts.select("gram", "context", (F.col("n") == 1).alias("single"), "one"))
@@ -294,7 +295,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     whole = whole.select("tk", F.greatest(F.lit(0), F.col("pos") - (length - gram)).alias("s"), F.least("size", F.col("pos") + length).alias("e"))
 
     open_ = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("any")).where("n > 1 and any").select("gram", (F.col("n") > hot).alias("hot"))
-    todo = contexts.join(open_, "gram").select("gram", "hot", "single", "one.tk", "one.pos")
+    todo = contexts.join(materialize(open_), "gram").select("gram", "hot", "single", "one.tk", "one.pos")
     lists = todo.groupBy("tk").agg(F.collect_list(F.struct("gram", "pos", "single", "hot")).alias("at"))
     packed = long.select(F.lit(0).alias("doc_id"), "text").mapInArrow(_packed, "doc_id int, tk binary, size long, z binary")
     cut = packed.select("tk", "z").join(lists, "tk").select("tk", "z", "at").mapInArrow(partial(_cut_contexts, **size), CONTEXT)
