@@ -25,7 +25,7 @@ def test_columns(spark):
     rows = [("http://h.com/p/?ref=1&reference=2&sidebar=3&a=1&a=2&&=#",), ("https://h.com/Blog/x.CSS?utm_source=a%20b#t",), ("file:///x",), (None,)]
     df = spark.createDataFrame(rows, "url string").select(urls.params(F.col("url")).alias("p"), urls.origin(F.col("url")).alias("o"), urls.page_type(F.col("url")).alias("t"), urls.is_asset(F.col("url")).alias("a"))
     a, b, c, d = df.collect()
-    assert a["p"]["params"] == ["ref", "reference", "sidebar", "a", "a", ""] and a["p"]["tracking_params"] == ["ref", "reference"] and not a["p"]["has_fragment"] and a["p"]["depth"] == 1
+    assert a["p"]["params"] == ["ref", "reference", "sidebar", "a", "a", ""] and a["p"]["tracking_params"] == ["ref", "reference", "sidebar"] and not a["p"]["has_fragment"] and a["p"]["depth"] == 1
     assert b["p"]["tracking_params"] == ["utm_source"] and b["p"]["has_fragment"] and b["t"] == "blog" and b["a"]
     assert (a["o"], c["o"], d["o"], d["p"], d["t"]) == ("http://h.com", "null", None, None, "unknown")
 
