@@ -150,10 +150,11 @@ def _sample(rows: DataFrame, max_rows: int) -> DataFrame:
 
     A language's count tells how small a hash must about be, so few rows are left when each language is ranked.
     """
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = max(1, max_rows // max(1, sizes.count()))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # as long as the model
+    share = max(1, max_rows // max(1, len(sizes)))
+    n = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")] if sizes else F.lit(0)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.join(sizes, "lang").where(place * F.col("n") <= 1.25 * share + 50)
+    few = rows.where(place * n <= 1.25 * share + 50)
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     return few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("doc_id").distinct()
 
