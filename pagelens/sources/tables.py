@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PAGES = "site string, seq bigint, url string, final_url string, status int, content_type string, size_bytes bigint, fetch_ms bigint, error string, html string"
 SITEMAPS = "site string, url string, xml string"
@@ -26,5 +27,5 @@ def write_report(report: DataFrame, path: str, form: str = "json", by_site: bool
 
 
 def write_texts(files: DataFrame, path: str) -> None:
-    """``files(site, content)`` as one text file a site, in a folder of the site's name."""
-    files.select("site", "content").repartition("site").write.option("lineSep", "").partitionBy("site").text(path)
+    """``files(site, content)`` as one text file a site, in a folder of the site's name, each ending in one line feed."""
+    files.select("site", F.regexp_replace("content", "\n$", "").alias("content")).repartition("site").write.partitionBy("site").text(path)
