@@ -206,10 +206,17 @@ def _part(length: int, gram: int) -> int:
     return max(1, -(-(length - gram + 1) // PARTS))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few contexts at a time, as each gives many hashes."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def _parts(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
     """Hashes of each part of a context's windows: of the bytes that all of them hold and of those that any holds."""
     digest = xxhash.xxh3_128_digest
-    for b in batches:
+    for b in _slices(batches):
         data, off = text_buffer(b.column(5))
         raw, before = data.tobytes(), b.column(4).to_numpy()
         row, part, inner, outer = [], [], [], []
@@ -231,7 +238,7 @@ def _parts(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterat
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
     """Every window of some parts of a context with its hash."""
-    for b in batches:
+    for b in _slices(batches):
         data, off = text_buffer(b.column(3))
         raw, pos, before = data.tobytes(), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().astype(np.int64)
         row, start, hashes, single = [], [], [], []
