@@ -48,7 +48,7 @@ def test_partitioning_changes_nothing(spark, sf_dir):
 
 
 def graph(spark, links, n):
-    html = lambda i: "".join(f"<a href='/{j}'>" for j in links.get(i, []))
+    html = lambda i: "".join(f"<a href='/{j or ''}'>" for j in links.get(i, []))
     return spark.createDataFrame([("https://s.x", f"https://s.x/{i or ''}", "https://s.x/", html(i)) for i in range(n)], "site string, url string, start_url string, html string")
 
 
