@@ -112,27 +112,30 @@ for _b in range(256):
 STRETCH = 1 << 22
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Alphanumeric words of concatenated texts: (hash, row, start, end), in text order. Words never cross rows."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _FOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of concatenated texts: (hash, row, start, end), in text order. Words never cross rows.
+
+    ``fold`` tells the byte that each byte counts as in words, 0 between them; by default words are alphanumeric.
+    """
     parts, lo = [], 0
     while lo < len(data):
         hi = min(lo + STRETCH, len(data))
         if hi < len(data):  # back to a separator, else on to the next
-            gap = np.flatnonzero(_FOLD[data[lo:hi]] == 0)
+            gap = np.flatnonzero(fold[data[lo:hi]] == 0)
             if len(gap):
                 hi = lo + int(gap[-1]) + 1
             else:
-                gap = np.flatnonzero(_FOLD[data[hi:]] == 0)
+                gap = np.flatnonzero(fold[data[hi:]] == 0)
                 hi = hi + int(gap[0]) + 1 if len(gap) else len(data)
-        parts.append(_words(data, offsets, lo, hi))
+        parts.append(_words(data, offsets, lo, hi, fold))
         lo = hi
     if not parts:
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
-    folded = _FOLD[data[lo:hi]]
+def _words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, fold: np.ndarray) -> tuple[np.ndarray, ...]:
+    folded = fold[data[lo:hi]]
     inside = folded != 0
     edge = np.zeros(hi - lo + 1, bool)
     near = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")]
