@@ -305,7 +305,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     todo = contexts.join(materialize(open_), "gram").select("gram", "hot", "single", "one.tk", "one.pos")
     lists = todo.groupBy("tk").agg(F.collect_list(F.struct("gram", "pos", "single", "hot")).alias("at"))
     packed = long.select(F.lit(0).alias("doc_id"), "text").mapInArrow(_packed, "doc_id int, tk binary, size long, z binary")
-    cut = packed.select("tk", "z").join(lists, "tk").select("tk", "z", "at").mapInArrow(partial(_cut_contexts, **size), CONTEXT)
+    # one row a text: each of its contexts is cut out once, however many copies there are
+    cut = packed.select("tk", "z").dropDuplicates(["tk"]).join(lists, "tk").select("tk", "z", "at").mapInArrow(partial(_cut_contexts, **size), CONTEXT)
     fine = cut.where("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(partial(_refine, **size), "tk binary, s int, e int")
     many = materialize(cut.where("hot"))
     return whole.unionByName(fine).unionByName(_hot_spans(many, length, gram))

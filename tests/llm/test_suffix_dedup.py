@@ -1,4 +1,5 @@
 import hashlib
+import uuid
 
 import pytest
 
@@ -50,3 +51,21 @@ def test_texts_longer_than_a_piece(docs_of, rnd, monkeypatch):
     a, b = filler(1_060_000) + shared + filler(2000), filler(3000) + shared + filler(1_050_000)
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs_of([a, b])).collect()}
     assert 900 <= got[0]["n_removed"] <= 904 and got[0]["n_removed"] == got[1]["n_removed"] and got[0]["n_spans"] == 1
+
+
+def test_contexts_of_copies_are_cut_once(docs_of, rnd, tmp_path, monkeypatch):
+    text = "".join(rnd.choices("abcdefghij ", k=300))
+    edited = text[:150] + "#" + text[151:]
+    cut = suffix_dedup._cut_contexts
+
+    def counted(batches, **size):
+        for b in cut(batches, **size):
+            (tmp_path / str(uuid.uuid4())).write_text(str(b.num_rows - len(set(zip(*(b.column(c).to_pylist() for c in ("gram", "tk", "pos")))))))
+            yield b
+
+    monkeypatch.setattr(suffix_dedup, "_cut_contexts", counted)
+    texts = [text] * 20 + [edited]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs_of(texts).coalesce(1), 40, 8).collect()}
+    assert [got[i] for i in range(21)] == [x[1] for x in brute([t.encode() for t in texts], 40)]
+    more = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert more and not any(more)
