@@ -18,6 +18,8 @@ from .common import chain, row_groups, text_buffer, word_hashes
 SEED_WORDS = 3
 #: N-grams found in over so many times the documents of their item's median n-gram aren't seeds.
 RARE = 4.0
+#: N-grams that no more distinct texts hold are always seeds, so that an item's own near copies don't make them common.
+COMMON = 1000
 #: Seeds of an item that must stand near each other in a text to make a candidate; all, for items of fewer.
 MIN_SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -57,9 +59,9 @@ class Items:
         return cls([r["item_id"] for r in rows], h, starts, gram[order].astype(np.uint64), item[order], place[order])
 
     def keep(self, found: dict[int, int], rare: float) -> Items:
-        """The n-grams that at most ``rare`` times as many documents hold as the item's median n-gram.
+        """The n-grams that at most ``rare`` times as many texts hold as the item's median n-gram, or COMMON texts.
 
-        ``found``: documents by n-gram. N-grams that no document holds can't find anything and don't count.
+        ``found``: distinct texts by n-gram. N-grams that no document holds can't find anything and don't count.
         """
         df = np.array([found.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
         there = np.flatnonzero(df)
@@ -67,7 +69,7 @@ class Items:
         n = np.bincount(self.item[there], minlength=len(self.ids))
         middle = np.zeros(len(n))
         middle[n > 0] = df[order[(np.cumsum(n) - n + n // 2)[n > 0]]]
-        kept = np.flatnonzero((df > 0) & (df <= rare * middle[self.item]))
+        kept = np.flatnonzero((df > 0) & (df <= np.maximum(rare * middle[self.item], COMMON)))
         return Items(self.ids, self.words, self.starts, self.grams[kept], self.item[kept], self.place[kept])
 
 
@@ -91,12 +93,11 @@ def _sizes(items: Items) -> set[int]:
 
 
 def _frequencies(docs: DataFrame, shared: Broadcast) -> dict[int, int]:
-    """Documents of the whole corpus that hold each n-gram of the items."""
+    """Distinct texts of the whole corpus that hold each n-gram of the items; copies of a text count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = np.unique(shared.value.grams)
         sizes = _sizes(shared.value)
-        df = np.zeros(len(grams), np.int64)
         for b in batches:
             data, off = text_buffer(b.column(0))
             for lo, hi in row_groups(off, GROUP_BYTES):
@@ -106,11 +107,11 @@ def _frequencies(docs: DataFrame, shared: Broadcast) -> dict[int, int]:
                         k = np.searchsorted(grams, g)
                         hit = grams[np.minimum(k, len(grams) - 1)] == g
                         seen = np.unique(row[at[hit]] * len(grams) + k[hit])
-                        df += np.bincount(seen % len(grams), minlength=len(grams))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(df[some])], ["gram", "df"])
+                        text = b.column(1).take(pa.array(lo + seen // len(grams)))
+                        yield pa.RecordBatch.from_arrays([text, pa.array(grams[seen % len(grams)].view(np.int64))], ["text", "gram"])
 
-    found = docs.select("low").mapInArrow(run, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+    held = docs.select("low", F.xxhash64("low").alias("text")).mapInArrow(run, "text long, gram long").distinct()
+    found = held.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     return {r["gram"]: r["df"] for r in found.collect()}  # one row for each n-gram of a block
 
 
@@ -201,7 +202,7 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, threshold: floa
     """``(doc_id, item_id, score, matched, start, end)``: test items found in texts, the best alignment of each.
 
     ``docs(doc_id, text)``, ``benchmark(item_id, text)``. Words are runs of letters and digits, case folded. Seeds are
-    the item's word n-grams that no more than ``rare`` times as many documents of the corpus hold as its median n-gram,
+    the item's word n-grams that no more than ``rare`` times as many distinct texts hold as its median n-gram, or COMMON texts,
     so an item whose n-grams are all common keeps seeds too. Where MIN_SEEDS of them stand near each other, the stretch
     and an item's length on both sides are aligned; ``score`` is the alignment's over that of a verbatim copy, kept
     from ``threshold`` on; start and end count words of the text, ``matched`` is the passage, case folded.

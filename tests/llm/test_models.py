@@ -99,3 +99,11 @@ def test_decontamination(spark, docs_of, rnd):
         kept = decontaminate.drop_contaminated(docs_of(texts), b, block_words=block)
         assert sorted(r["doc_id"] for r in kept.collect()) == [*range(9), 12] and kept.columns[-1] == "score"
     assert decontaminate.contaminated_passages(docs_of(texts), b.where("item_id < 0")).count() == 0 and decontaminate.contaminated_passages(docs_of([]), b).count() == 0
+
+
+def test_copies_of_an_edited_passage_are_found(spark, docs_of):
+    words = [f"p{i}" for i in range(20)]
+    edited = [f"new{i}" if i in (3, 7, 11, 15) else w for i, w in enumerate(words)]
+    docs = docs_of([" ".join(words), *[" ".join(edited)] * 1000])
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert decontaminate.contaminated_passages(docs, b).count() == 1001 and decontaminate.drop_contaminated(docs, b).count() == 0
