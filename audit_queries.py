@@ -14,7 +14,7 @@ from pagelens.operators import citability, discovery, jsonld, llmstxt, page, pag
 from pagelens.plans import audit
 
 Query = Callable[[SparkSession, str], DataFrame]
-MAX_URLS = 5  # so that small sites are cut too
+MAX_URLS = 5  # of sitemap_source, as in its SQL
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,7 +380,7 @@ def site_report(spark, sf_dir):
 
 @query
 def crawl_report(spark, sf_dir):
-    r = audit.crawl_report(pages(spark, sf_dir), sitemaps(spark, sf_dir), as_of(), MAX_URLS)
+    r = audit.crawl_report(pages(spark, sf_dir), sitemaps(spark, sf_dir), as_of())
     return r.select("site", "source", "total_discovered", "analyzed", "truncated", "pages_analyzed", "pages_ok", F.col("llms_txt_suggested.total_pages_categorized").alias("categorized"))
 
 
@@ -402,14 +402,18 @@ def sitemap_expand(spark, sf_dir):
     return e.select("site", F.array_join(F.transform("ord", lambda x: x.cast("string")), ".").alias("place"), "loc")
 
 
+def _sources(spark: SparkSession, sf_dir: str, max_urls: int) -> DataFrame:
+    return discovery.discover(crawlable(spark, sf_dir), sitemaps(spark, sf_dir), max_urls).groupBy("site", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def discovery_source(spark, sf_dir):
-    return discovery.discover(crawlable(spark, sf_dir), sitemaps(spark, sf_dir), MAX_URLS).groupBy("site", "source").agg(F.count(F.lit(1)).alias("n"))
+    return _sources(spark, sf_dir, discovery.MAX_URLS)
 
 
 @query
 def sitemap_source(spark, sf_dir):
-    found = discovery_source(spark, sf_dir)
+    found = _sources(spark, sf_dir, MAX_URLS)
     return found.select("site", "source", F.when(F.col("source") != "crawl", F.col("n")).alias("n"))
 
 
@@ -420,8 +424,7 @@ def bfs_crawl(spark, sf_dir):
 
 @query
 def discovery_cap(spark, sf_dir):
-    found = discovery.discover(crawlable(spark, sf_dir), sitemaps(spark, sf_dir), MAX_URLS)
-    return discovery.discovery_report(found, MAX_URLS)
+    return discovery.discovery_report(discovery.discover(crawlable(spark, sf_dir), sitemaps(spark, sf_dir)))
 
 
 # ---- llms.txt ----

@@ -70,3 +70,11 @@ def test_crawl_stops_like_a_queue(spark, most):
     links = {0: [1, 2, 1, 3], 1: [4, 0, 5], 2: [6, 4], 3: [7], 4: [8, 9], 6: [10], 7: [11, 3], 8: [12], 12: [13]}
     got = [int(r["url"].rsplit("/", 1)[1] or 0) for r in discovery.crawl(graph(spark, links, 14), most).orderBy("ord").collect()]
     assert got == plain_crawl(links, most)
+
+
+def test_sites_are_cut_at_the_library_s_cap(spark, monkeypatch):
+    links = {0: list(range(1, 121))}
+    monkeypatch.setattr(audit_queries, "crawlable", lambda spark, _: graph(spark, links, 121))
+    monkeypatch.setattr(audit_queries, "sitemaps", lambda spark, _: spark.createDataFrame([], "site string, url string, xml string"))
+    r = audit_queries.discovery_cap(spark, "").collect()
+    assert [(x["total_discovered"], x["analyzed"], x["truncated"]) for x in r] == [(121, 100, True)]
