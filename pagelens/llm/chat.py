@@ -87,9 +87,12 @@ def format_conversations(messages: DataFrame) -> DataFrame:
 
 
 def read_turns(formatted: Column) -> Column:
-    """The turns ``array<struct<role,text>>`` of a formatted conversation."""
+    """The turns ``array<struct<role,text>>`` of a formatted conversation.
+
+    The role's expression is possessive, as Java matches plain groups by recursion, one level a character.
+    """
     bodies = F.filter(F.split(formatted, TURN_END), lambda x: x != "")
-    head = r"(?s)^<turn ((?:[^\\>]|\\.)*)>\n(.*)$"
+    head = r"(?s)^<turn ([^\\>]*+(?:\\.[^\\>]*+)*+)>\n(.*)$"
     return F.transform(bodies, lambda x: F.struct(unescape(F.regexp_extract(x, head, 1)).alias("role"), unescape(F.regexp_extract(x, head, 2)).alias("text")))
 
 

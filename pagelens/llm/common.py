@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,29 +23,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder, its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where none is
-    configured (local tests).
-    """
+    """``df`` computed once into the shared checkpoint folder, the session's ``spark.checkpoint.dir``; its lineage is cut."""
     _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared checkpoint folder and read again; for large, compressible tables."""
+    """``df`` written as Parquet into the shared checkpoint folder and read again; for large, compressible tables.
+
+    The files go when the driver's session ends.
+    """
     path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _shared_folder(spark: SparkSession) -> str:
+    """A folder of this session in ``spark.checkpoint.dir``; only on a local master, where it may be unset, a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def without(df: DataFrame, name: str) -> DataFrame:
+    """``df`` without a column of the name that an operator is about to add, whatever its case."""
+    return df.select([c for c in df.columns if c.lower() != name.lower()])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

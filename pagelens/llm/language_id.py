@@ -13,13 +13,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chain, mix
+from .common import chain, mix, without
 
 #: Hashed character n-grams of 1 to MAX_GRAM letters.
 DIMS, MAX_GRAM = 4096, 3
 CENTROIDS = 4
 #: Bound of the labelled rows that centroids are fitted on, shared evenly by the languages.
 MAX_ROWS = 4000
+#: Bound of the languages, CENTROIDS vectors of DIMS floats each, that a model has.
+MAX_LANGS = 1000
 #: A text is rejected if its similarity is under this part of the lowest that fitted texts of like length reach.
 REJECT = 0.5
 LENGTH_BINS = 12
@@ -145,28 +147,31 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def _sample(rows: DataFrame, max_rows: int) -> DataFrame:
-    """doc_ids of at most ``max_rows`` rows, evenly by language, those of the least hashes.
+def _sample(rows: DataFrame, max_rows: int, max_langs: int) -> DataFrame:
+    """``(lang, k)`` of at most ``max_rows`` distinct texts, evenly by language, those of the least hashes ``k``.
 
-    A language's count tells how small a hash must about be, so few rows are left when each language is ranked.
+    A language's count tells how small a hash must about be, so few rows are left when each language is ranked; copies
+    of a text are one row before that.
     """
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # as long as the model
+    count = rows.groupBy("lang").agg(F.approx_count_distinct("k").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in count.orderBy(F.desc("n"), "lang").limit(max_langs).collect()}  # as long as the model
     share = max(1, max_rows // max(1, len(sizes)))
     n = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")] if sizes else F.lit(0)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.where(place * n <= 1.25 * share + 50)
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("doc_id").distinct()
+    place = F.pmod("k", F.lit(1 << 30)) / float(1 << 30)
+    few = rows.where(place * n <= 1.25 * share + 50).distinct()
+    return few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("k"))).where(F.col("r") <= share).select("lang", "k")
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS, centroids: int = CENTROIDS) -> Model:
+def fit(docs: DataFrame, max_rows: int = MAX_ROWS, centroids: int = CENTROIDS, max_langs: int = MAX_LANGS) -> Model:
     """A model from the learnable rows of ``docs(doc_id, text, lang)`` with a lang and a text.
 
-    Document frequencies come from all of these rows; the centroids from at most ``max_rows`` of them, evenly by
-    language, chosen by a hash of doc_id. A table with no such row gives a model that leaves all undetermined.
+    Document frequencies come from all of these rows; the centroids from at most ``max_rows`` distinct texts, evenly
+    by language, chosen by a hash of the text, so neither a repeated doc_id nor copies fill the sample. Of more than
+    ``max_langs`` languages the most frequent are learned (at most ``max_rows``, so that each has a text). A table
+    with no such row gives a model that leaves all undetermined.
     """
-    rows = docs.select("doc_id", "text", "lang").where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = _sample(rows.select("doc_id", "lang"), max_rows)
+    rows = docs.select("text", "lang", F.xxhash64("text").alias("k")).where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    chosen = _sample(rows.select("lang", "k"), max_rows, min(max_langs, max_rows))
     df = {r["dim"]: r["df"] for r in document_frequencies(rows).collect()}  # DIMS + 1 rows
     n = df.pop(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(DIMS)]))).astype(np.float32) + np.float32(1)
@@ -197,8 +202,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, centroids: int = CENTROIDS) -
         floor = np.minimum.accumulate(floor[::-1])[::-1]  # shorter texts are never held to more than longer ones
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(list(c), pa.list_(pa.float32())), pa.array([floor] * len(names), pa.list_(pa.float64()))], ["lang", "centre", "floor"])
 
-    picked = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # chosen has max_rows rows at most
-    ordered = picked.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).select("text", "lang")
+    picked = rows.join(F.broadcast(chosen), ["lang", "k"], "left_semi").dropDuplicates(["lang", "k"])  # max_rows rows at most
+    ordered = picked.repartition(1).sortWithinPartitions("k", "lang").select("text", "lang")
     got = ordered.mapInArrow(train, "lang string, centre array<float>, floor array<double>").collect()
     got.sort(key=lambda r: r["lang"])
     return Model(idf, np.array([r["centre"] for r in got], np.float32).reshape(-1, DIMS), [r["lang"] for r in got], np.array(got[0]["floor"] if got else [0.0] * LENGTH_BINS))
@@ -210,7 +215,9 @@ def predict(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
     ``lang`` is the language of the nearest centroid by cosine and ``score`` that cosine, 0 to 1. A text that is null
     or has no letter is ``und`` with score 0 and rejected. Others are rejected, their nearest language kept, if the
     score is under ``reject`` times the lowest that fitted texts of their length reach. The text alone decides.
+    Repeated rows repeat; a column ``language_id`` of ``docs`` is replaced.
     """
+    docs = without(docs, "language_id")
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS floats a centroid, of a bounded fit
     own = "lang string, score double, rejected boolean"

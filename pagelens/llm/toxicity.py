@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chain, row_groups, text_buffer, word_hashes
+from .common import chain, row_groups, text_buffer, without, word_hashes
 
 #: Hashed features: words, pairs of neighbours, and pairs with one or two words between them.
 DIMS = 1 << 20
@@ -75,10 +75,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: in
     """Weights from the learnable rows of ``docs(doc_id, text)`` with a ``toxic`` of 0 or 1 in ``labels(doc_id, toxic)``.
 
     At most ``max_rows`` of them, chosen and ordered by a hash of doc_id, pass through one task; what leaves it are
-    the weights that L1 left. Without such rows every score is 1/2. Null texts count as empty.
+    the weights that L1 left. Of rows that share a doc_id the one whose text has the least hash is learned from, with
+    each of the id's labels. Without such rows every score is 1/2. Null texts count as empty.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic")]
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1))
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1)).distinct()
     chosen = known.orderBy(*order).limit(max_rows)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: in
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["feature", "weight"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen has max_rows rows at most
-    ordered = rows.repartition(1).sortWithinPartitions(*order, F.xxhash64("text")).select("text", "toxic")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))  # as many
+    ordered = rows.repartition(1).sortWithinPartitions(*order).select("text", "toxic")
     got = sorted((r["feature"], r["weight"]) for r in ordered.mapInArrow(train, "feature long, weight double").collect())
     bias = next((w for at, w in got if at == DIMS), 0.0)
     got = [x for x in got if x[0] < DIMS]
@@ -109,8 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: in
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs(text, ...)`` and ``toxicity``, 0 to 1, higher for likelier toxic; the text alone decides.
 
-    Null and empty texts get what the intercept gives. Repeated rows repeat; an empty table gives no rows.
+    Null and empty texts get what the intercept gives. Repeated rows repeat; an empty table gives no rows. A column
+    ``toxicity`` of ``docs`` is replaced.
     """
+    docs = without(docs, "toxicity")
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS weights at most
 

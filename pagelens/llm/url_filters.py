@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import without
+
 HOST, DOMAIN, PREFIX = "host", "domain", "prefix"
 
 
@@ -53,8 +55,10 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", f
 
     Each distinct (URL, time) is judged once: its keys, as many as the URL has labels and directories, meet the
     intervals by equi-join with the time as a further condition, so only active entries come out. A key of very many
-    captures is one that AQE splits. Repeated rows repeat; empty tables give no rows or nothing blocked.
+    captures is one that AQE splits. Repeated rows repeat; empty tables give no rows or nothing blocked. A column
+    ``url_filter`` of ``captures`` is replaced.
     """
+    captures = without(captures, "url_filter")
     u, t = F.col(url), F.col(fetched)
     seen = captures.select(u.alias("u"), t.alias("t")).dropna().distinct()
     keys = seen.select("u", "t", F.explode(url_keys(F.col("u"))).alias("k")).select("u", "t", F.col("k.kind").alias("kind"), F.col("k.key").alias("pattern"))

@@ -1,6 +1,9 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pagelens.llm import decontaminate, language_id, toxicity
 from pagelens.llm.common import word_hashes
@@ -31,6 +34,92 @@ def test_language_id(docs_of, rnd):
     assert language_id.identify(docs_of([])).count() == 0
 
 
+def test_language_id_against_plain_cosines(docs_of, rnd, monkeypatch):
+    """TF-IDF by dictionaries: a text's score is its cosine with the nearest centroid, and centroids are means of like texts."""
+    texts, langs = corpus(rnd, 90)
+    monkeypatch.setattr(language_id, "_cluster", lambda x, k, rounds=12: x.mean(axis=0, keepdims=True))
+    d = docs_of(texts, langs=langs)
+    model = language_id.fit(d)
+    got = {r["doc_id"]: r["language_id"] for r in language_id.predict(d, model).collect()}
+
+    def counts(t):
+        dims, n = language_id.gram_counts([t])
+        assert n[0] == sum(c.isalpha() for c in t)
+        return {int(i): float(dims[0, i]) for i in np.flatnonzero(dims[0])}
+
+    grams = [counts(t) for t in texts]
+    learn = [i for i in range(90) if not held_out(i)]
+    df = Counter(g for i in learn for g in grams[i])
+    idf = lambda g: math.log((1 + len(learn)) / (1 + df[g])) + 1
+
+    def unit(v):
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / norm for k, x in v.items()}
+
+    vectors = [unit({g: math.log(1 + n) * idf(g) for g, n in x.items()}) for x in grams]
+    first = {texts[i]: i for i in reversed(learn)}  # copies of a text are learned from once
+    centres = {}
+    for lang in WORDS:
+        own = [vectors[i] for i in first.values() if langs[i] == lang]
+        centres[lang] = Counter()
+        for v in own:
+            for g, x in v.items():
+                centres[lang][g] += x / len(own)
+    for i, v in enumerate(vectors):
+        cos = {lang: sum(x * c[g] for g, x in v.items()) for lang, c in centres.items()}
+        best = max(cos, key=cos.get)
+        assert got[i]["lang"] == best and abs(got[i]["score"] - cos[best]) < 2e-3
+
+
+def grams_of(text):
+    """Character n-grams of one to three letters, a space for what stands between letters, none across two words."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    out = []
+    for w in words:
+        out += list(w)
+        for n in (2, 3):
+            out += [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    return Counter(out)
+
+
+def test_gram_counts(rnd):
+    texts = ["Ab c", "", "x", "  12 é漢-z ", "aaa aaa", " ".join(rnd.choices(WORDS["xx"], k=50))]
+    got, _ = language_id.gram_counts(texts)
+    for row, t in zip(got, texts):
+        want = grams_of(t)
+        # between two words one space belongs to both, so the n-grams that only touch it are as many as the words
+        assert row.sum() == sum(want.values()) and len(np.flatnonzero(row)) <= len(want)
+
+
+def test_one_id_on_very_many_rows(spark, docs_of, rnd, monkeypatch):
+    """The samples are bounded by rows, however often an id or a text is repeated."""
+    seen = spark.sparkContext.accumulator(0)
+    cluster, features = language_id._cluster, toxicity.features
+
+    def counted(x, k, rounds=12):
+        seen.add(len(x))
+        return cluster(x, k, rounds)
+
+    monkeypatch.setattr(language_id, "_cluster", counted)
+    texts, langs = corpus(rnd, 60)
+    one = next(i for i in range(100) if not held_out(i))
+    many = spark.range(100_000).select(F.lit(one).cast("long").alias("doc_id"), F.concat(F.lit("baba lolo "), F.col("id") % 50_000).alias("text"), F.lit("xx").alias("lang"))
+    d = docs_of(texts, langs=langs).select("doc_id", "text", "lang").unionByName(many)
+    model = language_id.fit(d, max_rows=90)
+    assert set(model.langs) == set(WORDS) and 30 <= seen.value <= 90
+    assert set(language_id.fit(d, max_rows=90, max_langs=1).langs) == {"xx"}
+    labels = spark.createDataFrame([(one, 1), (one, 1), (one, 0)], "doc_id long, toxic int")
+    rows = spark.sparkContext.accumulator(0)
+
+    def of(data, offsets):
+        rows.add(len(offsets) - 1)
+        return features(data, offsets)
+
+    monkeypatch.setattr(toxicity, "features", of)
+    toxicity.fit(d, labels, epochs=1)
+    assert rows.value == 2
+
+
 def test_prediction_uses_text_alone(docs_of, rnd):
     texts, langs = corpus(rnd, 60)
     model = language_id.fit(docs_of(texts, langs=langs))
@@ -61,6 +150,46 @@ def test_toxicity(spark, docs_of, rnd):
     assert {r["score"] for r in nothing} == {0.5} and toxicity.classify(docs_of([]), labels).count() == 0
 
 
+def test_ftrl_against_one_weight_at_a_time(rnd):
+    """McMahan et al. 2013, algorithm 1, with dictionaries."""
+    z, n = defaultdict(float), defaultdict(float)
+    model = toxicity.Ftrl()
+    weight = lambda i: 0.0 if i != toxicity.DIMS and abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1 * (i != toxicity.DIMS), z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(400):
+        y = rnd.randint(0, 1)
+        at = sorted({rnd.randrange(30) + 20 * y for _ in range(8)})
+        model.learn(np.array(at), y)
+        w = {i: weight(i) for i in [*at, toxicity.DIMS]}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in w:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+            n[i] += g * g
+    keys = [*range(50), toxicity.DIMS]
+    assert np.allclose(model.weights(np.array(keys)), [weight(i) for i in keys]) and sum(weight(i) == 0 for i in keys) < 50
+
+
+def test_accuracy_on_the_tables(spark, sf_dir):
+    """Held-out rows of the given tables."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    rows = [r for r in language_id.identify(docs).collect() if r["held_out"] and truth[r["doc_id"]] is not None and r["lang_pred"] != "und"]
+    assert len(rows) > 30 and np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in rows]) > 0.95
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    rows = [r for r in toxicity.classify(docs, labels).collect() if r["held_out"] and toxic.get(r["doc_id"]) is not None]
+    assert len(rows) > 20 and np.mean([r["predicted"] == toxic[r["doc_id"]] for r in rows]) > 0.9
+
+
+def test_columns_of_the_same_name(spark, docs_of, rnd):
+    """A column of the input that has the result's name is replaced."""
+    texts, langs = corpus(rnd, 30)
+    d = docs_of(texts, langs=langs)
+    rows = language_id.predict(d.withColumn("Language_ID", F.lit("mine")), language_id.fit(d))
+    assert rows.columns == [*d.columns, "language_id"] and rows.first()["language_id"]["lang"] in WORDS
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    rows = toxicity.score(d.withColumn("toxicity", F.lit("mine")), toxicity.fit(d, labels))
+    assert rows.columns == [*d.columns, "toxicity"] and 0 <= rows.first()["toxicity"] <= 1
+
+
 def hashes(text):
     b = np.frombuffer(text.lower().encode(), np.uint8)
     return word_hashes(b, np.array([0, len(b)]))[0]

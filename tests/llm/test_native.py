@@ -1,8 +1,11 @@
 import hashlib
+import math
 import re
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pagelens.llm import chat, mixing, queries, secret_scan, url_filters
@@ -38,13 +41,90 @@ def test_secrets(spark, docs_of):
     for i, t in enumerate(texts):
         base = base_spans(t or "")
         assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
-        assert set(filter(None, base.split(","))) <= set(got[i]["spans"].split(","))
-    assert got[9]["spans"] == "random:4:36"
+        assert got[i]["spans"] == base  # too little ordinary text to call a token random
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(d).collect()}
     assert clean[8] == '[SECRET] token = token:longvalue123 é😀 "[SECRET]" [SECRET]' and [clean[i] for i in range(8)] == ODD
     assert secret_scan.scan_secrets(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 70, 20_000])
+def test_spans_of_many_matches(docs_of, n):
+    text = "é " + " ".join(f"token={i:08d} x" for i in range(n))
+    found = docs_of([text, "nothing"]).select("doc_id", secret_scan.base_spans(F.col("text"))[0].alias("s"))
+    got = {r["doc_id"]: [tuple(x) for x in r["s"]] for r in found.collect()}
+    assert got == {0: [m.span() for m in ASSIGN.finditer(text)], 1: []} and len(got[0]) == n
+
+
+def upper(z):
+    return 1 / (1 + math.exp(min(700.0, max(-700.0, 0.07056 * z**3 + 1.5976 * z))))
+
+
+def plain_step(token):
+    """Step of the battery's p-value, number by number."""
+    _, _, alphabet, fold = next(e for e in secret_scan.ENCODINGS if re.fullmatch(e[1].strip("^$"), token))
+    t = token.rstrip("=").translate(str.maketrans("-_", "+/"))
+    v = [alphabet.index(c) for c in (t.lower() if fold else t)]
+    n, k = len(v), len(alphabet)
+    chi = sum(x * x for x in Counter(v).values()) * k / n - n
+    p = [upper(((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))]
+    high, runs = sum(x >= k / 2 for x in v), 1 + sum((a >= k / 2) != (b >= k / 2) for a, b in zip(v, v[1:]))
+    mean = 2 * high * (n - high) / n + 1
+    p.append(2 * upper(abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))))
+    c = sum(v) / n
+    p.append(2 * upper(abs(sum((a - c) * (b - c) for a, b in zip(v, v[1:])) / max(sum((x - c) ** 2 for x in v), 1e-9) + 1 / n) * math.sqrt(n)))
+    return min(300, math.floor(-10 * math.log10(max(min(1, 3 * min(p)), 1e-30))))
+
+
+def size_class(n):
+    return max(i for i, least in enumerate(secret_scan.LENGTHS) if n >= least)
+
+
+def plain_random(texts, fdr=0.05):
+    """(text, start, end) of the tokens that are reported, found one by one."""
+    found, tokens, plain = [], defaultdict(set), defaultdict(set)
+    for i, t in enumerate(texts):
+        for m in re.finditer(secret_scan.TOKEN, t):
+            found.append((i, *m.span(), size_class(len(m[0])), plain_step(m[0])))
+            tokens[size_class(len(m[0]))].add((plain_step(m[0]), m[0]))
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        kind = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), h)
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        at, need = signed(h) % max(1, len(t) - 255), secret_scan.LENGTHS[signed(kind) % 6]
+        s = re.sub("[^A-Za-z0-9]+", "", re.sub(secret_scan.TOKEN, "", t[at : at + 256]))[:need]
+        if len(s) == need:
+            plain[signed(kind) % 6].add((plain_step(s), s))
+    limit = {}
+    for c, some in tokens.items():
+        for step, _ in some:
+            p = (1 + sum(x <= step for x, _ in plain[c])) / (1 + len(plain[c]))
+            if p <= fdr * sum(x <= step for x, _ in some) / len(some):
+                limit[c] = max(step, limit.get(c, -1))
+    return {(i, s, e) for i, s, e, c, step in found if step <= limit.get(c, -1)}
+
+
+#: Alphabets that keys are drawn from.
+KEYS = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+
+
+def test_random_spans(spark, sf_dir, docs_of, rnd):
+    """Against the battery done number by number; keys planted in the tables' texts are found, words run together are not."""
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if len(r["text"] or "") < 20_000]
+    texts = [" ".join(rnd.sample(t.split(), len(t.split()))) for t in texts for _ in range(5)]
+    keys, words = set(), set()
+    for i in range(0, len(texts), 4):
+        w = texts[i].split()
+        key = "".join(rnd.choices(rnd.choice(KEYS), k=rnd.choice([20, 24, 32, 40, 64, 130])))
+        joined = rnd.choice(["-", "_", ""]).join(x for x in w[:6] if x.isalpha() and x.isascii())
+        texts[i] = " ".join([*w, key, joined])
+        keys.add((i, len(texts[i]) - len(joined) - 1 - len(key), len(texts[i]) - len(joined) - 1))
+        words.add((i, len(texts[i]) - len(joined), len(texts[i])))
+    rows = secret_scan.scan_secrets(docs_of(texts)).select("doc_id", F.explode("spans").alias("s")).where("s.kind = 'random'").select("doc_id", "s.start", "s.end").collect()
+    got = {tuple(r) for r in rows}
+    assert got == plain_random(texts)
+    long = {k for k in keys if k[2] - k[1] >= 32}
+    assert len(got & long) >= 0.97 * len(long) and len(got & keys) >= 0.85 * len(keys) and len(got & words) <= 0.1 * len(got)
+
+
 def test_mix(spark, docs_of):
     texts = ["w " * n for n in (5, 7, 100, 3, 0, 50)] + [None]
     rows = mixing.mix_sources(docs_of(texts, sources=["b", "b", "a", None, "c", "a", "c"], ids=[1, 1, 2, 3, 4, None, 6])).collect()
@@ -80,6 +160,28 @@ def test_chat(spark):
     assert "\\<image 0>" in one["formatted"]
 
 
+@pytest.mark.parametrize("odd", ["r" * 1_000_000, "\\\\" * 500_000, "<turn >\n" * 100_000])
+def test_long_roles_and_texts(spark, odd):
+    rows = spark.createDataFrame([(1, 0, odd, odd), (1, 1, "assistant", odd), (1, 2, "", None)], "conv_id long, turn long, role string, text string")
+    f = chat.format_conversations(chat.text_parts(rows))
+    want = hashlib.sha256(f"{odd}\n{odd}\nassistant\n{odd}\n\n\n".encode()).hexdigest()
+    assert [tuple(r)[:5] for r in chat.digest(f).collect()] == [(1, 3, want, len(odd), hashlib.sha256(odd.encode()).hexdigest())]
+
+
+def test_empty_tables(spark):
+    talks = spark.createDataFrame([], "conv_id long, turn long, role string, text string, n_turns string")
+    assert chat.digest(chat.format_conversations(chat.text_parts(talks))).count() == 0
+    entries = spark.createDataFrame([], "list string, kind string, pattern string, dated timestamp, action string")
+    captures = spark.createDataFrame([(1, "http://a.example/" + "d/" * 2000, "mine")], "id long, url string, url_filter string").withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
+    assert [r["url_filter"]["blocked"] for r in url_filters.filter_captures(captures, entries).collect()] == [False]
+    assert url_filters.filter_captures(captures.limit(0), entries).count() == 0
+
+
+def test_long_text_of_mix(docs_of):
+    rows = mixing.mix_sources(docs_of(["w " * 2_000_000, "v"], sources=["a", "b"])).collect()
+    assert {r["size"] for r in rows} == {2_000_000, 1}
+
+
 def test_url_filters(spark):
     ts = "timestamp '2024-01-{:02d}'"
     rows = lambda *xs: spark.sql(" UNION ALL ".join(f"SELECT '{a}' AS list, '{b}' AS kind, '{c}' AS pattern, {ts.format(d)} AS dated, '{e}' AS action" for a, b, c, d, e in xs))
