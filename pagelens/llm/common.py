@@ -57,6 +57,13 @@ def without(df: DataFrame, name: str) -> DataFrame:
     return df.select([c for c in df.columns if c.lower() != name.lower()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores as make it no column of ``df``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_buffer
+from .common import row_groups, text_buffer, without
 
 #: Layout of stored payloads: bytes a sample, samples a chunk, samples from one sync sample to the next, samples a second.
 UNIT, CHUNK, SYNC, RATE = 64, 16, 8, 125
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"moof", b"traf", b"mvex"}
 MAX_DEPTH = 16
+#: Bytes of texts that are packed together.
+GROUP_BYTES = 1 << 22
 
 
 def _box(kind: bytes, *content: bytes) -> bytes:
@@ -147,10 +149,11 @@ def pack_texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = text_buffer(b.column(1))
-            raw, files = data.tobytes(), []
-            for s, e in zip(off[:-1].tolist(), off[1:].tolist()):
-                files.append(pack(raw[s:e] + bytes(-(e - s) % UNIT if e > s else UNIT)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+            for lo, hi in row_groups(off, GROUP_BYTES):
+                raw, size, files = data[off[lo] : off[hi]].tobytes(), np.diff(off[lo : hi + 1]), []
+                for s, n in zip((off[lo:hi] - off[lo]).tolist(), size.tolist()):
+                    files.append(pack(raw[s : s + n] + bytes(-n % UNIT if n else UNIT)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
@@ -164,8 +167,9 @@ def scan_media(files: DataFrame, column: str = "media", payload: bool = True) ->
 
     codec, handler kind, duration in seconds, number of samples, byte ranges (end exclusive) of sync samples and, if
     asked for, the samples' bytes in order. Null or broken files get an ``error`` and nulls; a file without samples
-    has none and no error. No column of the input is lost or renamed.
+    has none and no error. All columns of the input are kept, but one called ``facts``, which is replaced.
     """
+    files = without(files, "facts")
     names = [f.split()[0] for f in FACTS.split(", ")]
     kinds = [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string()]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +25,9 @@ TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 #: Longer keys for postings of more than HOT rows: every five positions.
 FIVES = list(combinations(range(8), 5))
 HOT = 4096
+#: Number of the first design of longer keys, and the fingerprints of such a posting from which partners are looked up.
+#: A posting of five bytes has 2**24 fingerprints at most.
+LONGER, MANY = 100, 1 << 14
 
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -95,6 +99,37 @@ def _forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
+@cache
+def _flips(free: tuple[int, ...]) -> np.ndarray:
+    """All masks of 1 to MAX_BITS bits in the bytes at ``free``."""
+    bits = [1 << (8 * p + i) for p in free for i in range(8)]
+    return np.array([sum(x) for k in range(1, MAX_BITS + 1) for x in combinations(bits, k)], np.uint64)
+
+
+def _by_flips(fps: np.ndarray, free: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that join all that is linked among fingerprints alike but in the bytes at ``free``; fit for very many.
+
+    Each fingerprint's few thousand possible partners are looked up, so the work is in proportion to the posting.
+    """
+    fps, found = np.sort(fps), []
+    root = np.arange(len(fps))
+    for mask in _flips(free):
+        at = np.minimum(np.searchsorted(fps, fps ^ mask), len(fps) - 1)
+        u = np.flatnonzero((fps[at] == fps ^ mask) & (at > np.arange(len(fps))))
+        u = u[root[u] != root[at[u]]]
+        v = at[u]
+        if len(u):
+            found.append((fps[u], fps[v]))
+        while len(u):
+            a, b = root[u], root[v]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+            rest = root[u] != root[v]
+            u, v = u[rest], v[rest]
+    return found
+
+
 def _links_of_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links inside each run of equal ``(design, key)``; the partition comes sorted by them."""
 
@@ -108,7 +143,10 @@ def _links_of_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 hit = _linked(np.ascontiguousarray(at[:, i]), np.ascontiguousarray(at[:, j]))
                 found.append((at[hit, i], at[hit, j]))
         for s, n in zip(first[size > 8].tolist(), size[size > 8].tolist()):
-            found += _forest(fp[s : s + n])
+            if n > MANY and design[s] >= LONGER:
+                found += _by_flips(fp[s : s + n], tuple(set(range(8)) - set(FIVES[design[s] - LONGER])))
+            else:
+                found += _forest(fp[s : s + n])
         u = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.uint64)
         v = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.uint64)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
@@ -141,7 +179,7 @@ def near_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     again = posts.join(over, ["design", "key"], "left_semi").groupBy("fp").agg(F.collect_set("design").alias("hot"))
     fives = again.select("fp", "hot", F.posexplode(sets).alias("i", "of")).where(F.arrays_overlap("hot", "of"))
     masks = F.array(*[F.lit(_byte_mask(p)) for p in FIVES])
-    longer = fives.select((F.col("i") + 100).cast("short").alias("design"), F.col("fp").bitwiseAND(masks[F.col("i")]).alias("key"), "fp")
+    longer = fives.select((F.col("i") + LONGER).cast("short").alias("design"), F.col("fp").bitwiseAND(masks[F.col("i")]).alias("key"), "fp")
     rows = posts.join(over, ["design", "key"], "left_anti").unionByName(longer)
     runs = rows.repartition("design", "key").sortWithinPartitions("design", "key")
     return runs.mapInArrow(_links_of_postings, "u long, v long")

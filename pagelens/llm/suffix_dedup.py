@@ -269,12 +269,13 @@ def _hot_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     sizes = contexts.select("tk", "pos", (F.col("pos") - F.col("before") + F.octet_length("bytes")).alias("end"))
     done = parts.where("single").join(by.where("n > 1").select(*same, "outer"), [*same, "outer"], "left_semi").join(sizes, ["tk", "pos"])
     done = done.select("tk", first.alias("s"), F.least(last + length, F.col("end")).alias("e"))
-    mixed = by.groupBy(*same).agg(F.count(F.lit(1)).alias("m"), F.max("open").alias("any")).where("m > 1 and any").select(*same)
+    # counts are kept apart from the joins that follow, so that a crowded key's partition is one that Spark can split
+    mixed = materialize(by.groupBy(*same).agg(F.count(F.lit(1)).alias("m"), F.max("open").alias("any")).where("m > 1 and any").select(*same))
     again = by.join(mixed, same, "left_semi").select("one.tk", "one.pos", "one.part", F.col("open").alias("single"))
     again = again.groupBy("tk", "pos").agg(F.collect_list(F.struct("part", "single")).alias("parts"))
     wide = contexts.select("tk", "pos", "before", "bytes").join(again, ["tk", "pos"]).select("tk", "pos", "before", "bytes", "parts").mapInArrow(partial(_windows, length=length, width=width), "h binary, tk binary, s int, single boolean")
     wide = materialize(wide.groupBy("h", "tk", "s").agg(F.max("single").alias("single")))
-    twice = wide.groupBy("h").count().where("count > 1").select("h")
+    twice = materialize(wide.groupBy("h").count().where("count > 1").select("h"))
     broad = wide.where("single").join(twice, "h", "left_semi").select("tk", "s", (F.col("s") + length).alias("e"))
     return done.unionByName(broad)
 

@@ -51,3 +51,9 @@ def test_broken_files(spark):
     assert rows[0]["error"] is None and rows[0]["n_samples"] == 2 and rows[1]["error"] == "no data" and rows[2]["n_samples"] == 0
     assert len(rows) == 10 and all(rows[i]["error"] or not rows[i]["n_samples"] for i in range(1, 10) if i != 8)
     assert media.scan_media(df, payload=False).select(F.col("facts.payload")).where("payload is not null").count() == 0
+
+
+def test_column_of_the_same_name(spark):
+    df = spark.createDataFrame([(1, media.pack(bytes(64)), "mine")], "id long, media binary, Facts string")
+    rows = media.scan_media(df)
+    assert rows.columns == ["id", "media", "facts"] and rows.first()["facts"]["n_samples"] == 1

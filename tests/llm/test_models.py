@@ -236,3 +236,55 @@ def test_copies_of_an_edited_passage_are_found(spark, docs_of):
     docs = docs_of([" ".join(words), *[" ".join(edited)] * 1000])
     b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     assert decontaminate.contaminated_passages(docs, b).count() == 1001 and decontaminate.drop_contaminated(docs, b).count() == 0
+
+
+def exhaustive(texts, items, threshold=0.5):
+    """{(text, item): score} of all pairs aligned as a whole."""
+    words, out = [hashes(t or "") for t in texts], {}
+    for k, item in enumerate(items):
+        w = hashes(item or "")
+        for i, t in enumerate(words):
+            score = decontaminate.align(w, t)[0] / (2 * len(w)) if len(w) and len(t) else 0
+            if score >= threshold and len(w):
+                out[i, k] = score
+    return out
+
+
+def edited(rnd, words, share):
+    return [f"e{rnd.randrange(9999)}" if rnd.random() < share else w for w in words]
+
+
+def test_recall_against_exhaustive_alignment(spark, docs_of, rnd):
+    """The exact way finds every pair, seeds all verbatim copies and nearly all copies of items of eight words or more."""
+    vocabulary = [f"v{i}" for i in range(1000)]
+    items = [" ".join(rnd.choices(vocabulary, k=rnd.randint(1, 40))) for _ in range(25)]
+    texts = [" ".join([*rnd.choices(vocabulary, k=30), *edited(rnd, rnd.choice(items).split(), rnd.choice([0, 0.1, 0.2, 0.3])), *rnd.choices(vocabulary, k=20)]) for _ in range(120)]
+    want = exhaustive(texts, items)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = lambda **more: {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated_passages(docs_of(texts), b, **more).collect()}
+    exact = rows(rare=None, seed_words=1, min_seeds=1)
+    assert exact.keys() == want.keys() and all(abs(exact[k] - want[k]) < 1e-9 for k in want)
+    seeded = rows()
+    assert all(abs(seeded[k] - want[k]) < 1e-9 for k in seeded) and seeded.keys() >= {k for k, v in want.items() if v == 1}
+    long = {k for k in want if len(items[k[1]].split()) >= 8}
+    assert len(seeded.keys() & long) >= 0.95 * len(long) and len(long) > 80
+
+
+def test_recall_on_the_tables(spark, sf_dir):
+    docs, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    texts, items = ({r[0]: r["text"] for r in d.collect()} for d in (docs.select("doc_id", "text"), b.select("item_id", "text")))
+    want = exhaustive(list(texts.values()), list(items.values()))
+    want = {(list(texts)[i], list(items)[k]): v for (i, k), v in want.items()}
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated_passages(docs, b).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_repeated_and_long_items(spark, docs_of):
+    long = " ".join(f"w{i}" for i in range(400))
+    b = spark.createDataFrame([(1, "one two three four five"), (2, "One two three four five"), (None, "one two three four five"), (3, long)], "item_id long, text string")
+    d = docs_of(["so one two three four five six", long, "nothing"]).withColumnRenamed("score", "low")
+    for block in (1_000_000, 50):
+        got = [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_passages(d, b, block_words=block).collect()]
+        assert sorted(got, key=str) == sorted([(0, 1), (0, 2), (0, None), (1, 3)], key=str)
+        kept = decontaminate.drop_contaminated(d, b, block_words=block)
+        assert [r["doc_id"] for r in kept.collect()] == [2] and kept.columns == d.columns

@@ -143,6 +143,38 @@ def test_equal_texts_and_reruns_of_mix(docs_of):
     assert one == sorted(map(tuple, mixing.mix_sources(d.repartition(7)).collect()))
 
 
+def test_targets_of_very_many_sources(spark, rnd):
+    """Against filling up source by source."""
+    sizes = {f"s{i}": rnd.choice([0, 1, 5, 100, 10_000]) for i in range(500)} | {None: 50}
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    names = sorted((s for s in sizes if s is not None), key=str.encode) + [None]
+    weight = {s: float(1 + i % 3) for i, s in enumerate(names)}
+    full = set()
+    while True:
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in full)
+        share = {s: left * weight[s] / sum(weight[x] for x in names if x not in full) for s in names if s not in full}
+        more = {s for s, t in share.items() if t > 3 * sizes[s]}
+        if not more:
+            break
+        full |= more
+    want = {s: 3.0 * sizes[s] for s in full} | share
+    assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-6) for s in want)
+    assert mixing.source_targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
+
+
+def test_taken_documents(docs_of, rnd):
+    texts = ["w " * rnd.randint(0, 9) for _ in range(60)] + [None, "same", "same"]
+    sources = [rnd.choice(["a", "a", "a", "b", None]) for _ in texts]
+    d = docs_of(texts, sources=sources, ids=[*range(61), 7, 7]).withColumnRenamed("score", "Taken")
+    want = Counter((r["doc_id"], r["taken"]) for r in mixing.mix_sources(d).collect() if r["taken"])
+    rows = mixing.take_documents(d)
+    assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken"]
+    rows = rows.collect()
+    assert Counter((r["doc_id"], r["taken"]) for r in rows) == want and 0 < len(rows) < 63
+    assert all(r["size"] == len((r["text"] or "").split()) and 0 < r["taken"] <= 3 * r["size"] for r in rows)
+    assert mixing.take_documents(docs_of([])).count() == 0
+
+
 def test_chat(spark):
     part = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
     rows = [

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -62,6 +63,49 @@ def test_components_against_brute_force(spark, rnd, hot):
     assert groups(got) == groups(label)
 
 
+@pytest.mark.parametrize("unlinked", [True, False])
+def test_very_many_fingerprints_that_share_five_bytes(rnd, unlinked):
+    """Looked-up partners join what a search through all pairs joins, and links don't grow with the square."""
+    free, n = (1, 4, 6), 3000
+    spread = lambda x: sum((x >> 8 * k & 0xFF) << 8 * p for k, p in enumerate(free))
+    values = rnd.sample(range(1 << 24), n) if unlinked else [c ^ sum(1 << b for b in rnd.sample(range(24), rnd.randint(0, 4))) for c in rnd.sample(range(1 << 24), 10) for _ in range(n // 10)]
+    base = rnd.getrandbits(64)
+    base &= ~spread((1 << 24) - 1)
+    fps = np.array(sorted({base | spread(v) for v in values}), np.uint64)
+
+    def parts(links):
+        root = {int(x): int(x) for x in fps}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for u, v in links:
+            for a, b in zip(u.tolist(), v.tolist()):
+                root[find(a)] = find(b)
+        groups = {}
+        for x in root:
+            groups.setdefault(find(x), set()).add(x)
+        return {frozenset(g) for g in groups.values()}
+
+    links = simhash._by_flips(np.array(rnd.sample(fps.tolist(), len(fps)), np.uint64), free)
+    assert all((np.bitwise_count(u ^ v) <= 3).all() for u, v in links)
+    assert parts(links) == parts(simhash._forest(fps)) and sum(len(u) for u, _ in links) < 20 * n
+
+
+def test_long_postings_in_place(spark, rnd, monkeypatch):
+    monkeypatch.setattr(simhash, "MANY", 8)
+    base = rnd.getrandbits(64)
+    fps = sorted({base ^ sum(1 << b for b in rnd.sample(range(24), rnd.randint(0, 5))) for _ in range(400)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    table = pa.RecordBatch.from_arrays([pa.array([100 + simhash.FIVES.index((3, 4, 5, 6, 7))] * len(fps), pa.int16()), pa.array([0] * len(fps)), pa.array(signed)], ["design", "key", "fp"])
+    (links,) = simhash._links_of_postings(iter([table]))
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links.to_pandas())).collect()}
+    label = classes(signed, [f & (1 << 64) - 1 for f in signed])
+    assert {(x, y) for x in signed for y in signed if got.get(x, x) == got.get(y, y)} == {(x, y) for x in signed for y in signed if label[x] == label[y]}
+
+
 def test_odd_rows(spark, docs_of):
     rows = simhash.near_duplicates(docs_of(ODD)).collect()
     assert len(rows) == len(ODD)
