@@ -26,7 +26,7 @@ REFINE = 1 << 19
 HOT = 1000
 #: Parts that a context's windows are split into there.
 PARTS = 8
-ANCHOR = "tk binary, size int, pos int, gram long, context long"
+ANCHOR = "tk binary, size int, gram long, context long, at array<int>"
 
 
 def _anchors_of(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -72,6 +72,7 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """A row for each gram and context of a text with all places where they stand, so a line that a text repeats is one."""
     for b in batches:
         data, off = text_buffer(b.column(0))
         for lo, hi in row_groups(off, PIECE):
@@ -99,8 +100,11 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
             seeds = ((pos - left) * (length + 1) + right - pos).tolist()
             c = np.fromiter((hash64(text[s:e], seed) for s, e, seed in zip((begin + left).tolist(), (begin + right).tolist(), seeds)), np.uint64, len(place))
             keys = pa.array([hashlib.md5(text[x:y]).digest() for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())
-            columns = [pa.array(x) for x in (size.astype(np.int32), pos.astype(np.int32), g.view(np.int64), c.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), *columns], ["tk", "size", "pos", "gram", "context"])
+            order = np.lexsort((pos, c, g, row))
+            row, g, c, pos, size = row[order], g[order], c[order], pos[order].astype(np.int32), size[order].astype(np.int32)
+            cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1]))))
+            at = pa.ListArray.from_arrays(pa.array(np.append(cut, len(row)).astype(np.int32)), pa.array(pos))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[cut])), pa.array(size[cut]), pa.array(g[cut].view(np.int64)), pa.array(c[cut].view(np.int64)), at], ["tk", "size", "gram", "context", "at"])
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -295,11 +299,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     long = texts.where(F.octet_length("text") >= length).select("text")
     anchors = long.mapInArrow(partial(_find_anchors, **size), ANCHOR)  # found twice, which costs less than keeping all
     # kept apart from the joins that follow, so that these are plain ones whose crowded partitions Spark can split
-    shared = materialize(anchors.groupBy("gram").count().where("count > 1").select("gram"))
+    places = F.sum(F.size("at")).alias("n")
+    shared = materialize(anchors.groupBy("gram").agg(places).where("n > 1").select("gram"))
     anchors = stored(anchors.join(shared, "gram", "left_semi"))
-    contexts = anchors.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "pos", "size")).alias("one"))
+    contexts = anchors.groupBy("gram", "context").agg(places, F.min(F.struct("tk", F.col("at")[0].alias("pos"), "size")).alias("one"))
     contexts = stored(contexts.select("gram", "context", (F.col("n") == 1).alias("single"), "one"))
     whole = anchors.join(contexts.where("not single").select("gram", "context"), ["gram", "context"], "left_semi")
+    whole = whole.select("tk", "size", F.explode("at").alias("pos"))
     whole = whole.select("tk", F.greatest(F.lit(0), F.col("pos") - (length - gram)).alias("s"), F.least("size", F.col("pos") + length).alias("e"))
 
     open_ = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("any")).where("n > 1 and any").select("gram", (F.col("n") > hot).alias("hot"))
