@@ -16,7 +16,7 @@ ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0
 
 
 def trim(s: Column) -> Column:
-    return F.regexp_replace(s, f"^[{WS}]+|[{WS}]+$", "")
+    return F.regexp_replace(s, f"^[{WS}]+|(?<![{WS}])[{WS}]+$", "")  # a run of white space is looked at once
 
 
 def units(s: Column) -> Column:
@@ -36,7 +36,30 @@ def decode(s: Column) -> Column:
 
 
 def strip_tags(s: Column, by: str = "") -> Column:
-    return F.regexp_replace(s, "<[^>]+>", by)
+    """Every tag replaced; behind the last '>' no tag can begin, so what isn't closed there is read once and kept."""
+    if not by:
+        return F.regexp_replace(s, r"<[^>]+>|(<[^>]*\z)", "$1")
+
+    def cut(x: Column) -> Column:
+        tail = F.substring_index(x, ">", -1)
+        return F.concat(F.regexp_replace(F.substring(x, F.lit(1), F.length(x) - F.length(tail)), "<[^>]+>", by), tail)
+
+    return let(s, cut)
+
+
+def closed(html: Column, name: str) -> Column:
+    """``html`` up to its last closing tag of that name, empty without one.
+
+    No element that begins later is closed, so patterns that end in the closing tag need only look here. Elsewhere each
+    opener would have them search to the end of the page, in time that grows with the square of its length.
+    """
+    return F.regexp_extract(html, f"(?is)^.*</{name}>", 0)
+
+
+def without_elements(html: Column, name: str, pattern: str) -> Column:
+    """Elements replaced by a space; ``pattern`` ends in the closing tag of that name."""
+    rest = lambda x, head: F.substring(x, F.length(head) + 1, F.length(x))
+    return let(html, lambda x: let(closed(x, name), lambda head: F.concat(F.regexp_replace(head, pattern, " "), rest(x, head))))
 
 
 def first(s: Column, pattern: str, group: int = 1) -> Column:

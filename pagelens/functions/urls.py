@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -42,13 +43,13 @@ def _quote(text: str, reserved: frozenset[str]) -> str:
 def _ipv4(host: str) -> str | None:
     """Dotted form of a host that ends in a number; None for a name. ValueError if it is no address."""
     parts = host.rstrip(".").split(".") if host.endswith(".") else host.split(".")
-    if not re.fullmatch(r"\d+|0[xX][0-9a-fA-F]*", parts[-1] or "x"):
+    if not re.fullmatch(r"[0-9]+|0[xX][0-9a-fA-F]*", parts[-1] or "x"):
         return None
     if len(parts) > 4:
         raise ValueError("too many parts")
     numbers = []
     for p in parts:
-        if not re.fullmatch(r"0[xX][0-9a-fA-F]*|\d+", p):
+        if not re.fullmatch(r"0[xX][0-9a-fA-F]*|[0-9]+", p):
             raise ValueError("not a number")
         numbers.append(int(p[2:] or "0", 16) if p[:2].lower() == "0x" else int(p, 8) if len(p) > 1 and p[0] == "0" else int(p))
     if any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
@@ -57,6 +58,22 @@ def _ipv4(host: str) -> str | None:
     return str(ipaddress.IPv4Address(value))
 
 
+def _ascii_name(name: str) -> str:
+    """A host in other than ASCII letters by the non-transitional rules of UTS 46: sharp s, final sigma and joiners stay.
+
+    Characters are folded and normalised by this Python's Unicode tables; contextual and bidirectional rules aren't
+    checked.
+    """
+    kept = "\u00df\u03c2\u200c\u200d"
+    folded = "".join(c if c in kept else "\u00df" if c == "\u1e9e" else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", c).casefold()) for c in name if c not in "\u00ad\u200b\u2060\ufeff" and not "\ufe00" <= c <= "\ufe0f")
+    labels = []
+    for label in re.split("[.\u3002]", unicodedata.normalize("NFC", folded)):
+        if label and (unicodedata.category(label[0])[0] == "M" or any(unicodedata.category(c) in ("Cc", "Cs", "Co", "Cn", "Zs", "Zl", "Zp") for c in label)):
+            raise ValueError("disallowed character")
+        labels.append(label if label.isascii() else "xn--" + label.encode("punycode").decode())
+    return ".".join(labels)
+
+
 def _host(raw: str, special: bool) -> str:
     if raw.startswith("["):
         if not raw.endswith("]"):
@@ -68,7 +85,7 @@ def _host(raw: str, special: bool) -> str:
         return _quote(raw, frozenset())
     name = re.sub(rb"%([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]), raw.encode()).decode("utf-8").lower()
     if not name.isascii():
-        name = name.replace("。", ".").encode("idna").decode().lower()
+        name = _ascii_name(name)
     if not name or _BAD_HOST.search(name):
         raise ValueError("bad host")
     return _ipv4(name) or name
@@ -132,7 +149,7 @@ def _parse(url: str, base: tuple | None = None) -> tuple:
     authority, path = (rest[: cut.start()], rest[cut.start() :]) if cut else (rest, "")
     user, at, host = authority.rpartition("@")
     name, port = host, ""
-    if m := re.search(r":(\d*)$", host) if not host.endswith("]") else None:
+    if m := re.search(r":([0-9]*)$", host) if not host.endswith("]") else None:
         name, port = host[: m.start()], m[1]
     elif re.search(r":[^\]]*$", host) and not host.startswith("["):
         raise ValueError("bad port")

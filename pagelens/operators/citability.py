@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import END, START, WS, count, every, half_up, let, strip_tags, units
+from ..functions.text import END, START, WS, closed, count, every, half_up, let, strip_tags, units
 from . import page
 
 S = f"[{WS}]"
@@ -141,7 +141,7 @@ def structure(html: Column, heads: Column) -> Column:
     d.add_for(n, lambda n: [(n >= 3, 20, _said(n, " listas (UL/OL) — formato escaneable"), None), (n >= 1, 12, _said(n, " listas"), None), (None, 0, None, ("medium", "Sin listas en el contenido", "Los LLMs extraen mejor información de listas. Convertir párrafos enumerativos en listas."))])
     tables = count(html, f"(?i)<table{END}")
     d.add_for(tables, lambda n: [(n >= 1, 15, _said(n, " tablas (excelente para datos comparativos)"), None)])
-    paragraphs = every(html, rf"(?i)<p{END}[^>]*>[\s\S]*?</p>")
+    paragraphs = every(closed(html, "p"), rf"(?i)<p{END}[^>]*>[\s\S]*?</p>")
     average = F.aggregate(paragraphs, F.lit(0).cast("long"), lambda a, p: a + units(strip_tags(p))) / F.nullif(F.size(paragraphs), F.lit(0))
     d.add_for(average, lambda x: [(x < 300, 10, "Párrafos cortos (escaneables)", None), (x > 600, 0, None, ("low", "Párrafos muy largos (>600 caracteres promedio)", "Dividir párrafos largos para mejorar escaneabilidad."))])
     return d.column()
@@ -195,9 +195,9 @@ def answer_format(html: Column, types: Column) -> Column:
     d.add((_any(types, ["FAQPage"]), 50, "Schema FAQPage presente (excelente para LLMs)", None), (None, 0, None, ("medium", "Sin schema FAQPage", "Si tienes preguntas frecuentes, añadir schema FAQPage. Los LLMs extraen Q&A literalmente.")))
     d.add((_any(types, ["HowTo"]), 25, "Schema HowTo presente", None))
     d.add((html.rlike(r"(?i)<h[2-4][^>]*>[^<]*\?[^<]*</h[2-4]>"), 20, "Headings con formato pregunta", None))
-    d.add((html.rlike(rf"(?i)<dl{END}[\s\S]*?</dl>"), 15, "Listas de definición (<dl>) — formato perfecto para LLMs", None))
+    d.add((closed(html, "dl").rlike(rf"(?i)<dl{END}[\s\S]*?</dl>"), 15, "Listas de definición (<dl>) — formato perfecto para LLMs", None))
     d.add((html.rlike(f"(?i)<blockquote{END}"), 10, "Blockquotes presentes", None))
-    short = F.size(F.filter(every(html, rf"(?i)<li{END}[^>]*>[\s\S]*?</li>"), lambda x: units(strip_tags(x)) < 200))
+    short = F.size(F.filter(every(closed(html, "li"), rf"(?i)<li{END}[^>]*>[\s\S]*?</li>"), lambda x: units(strip_tags(x)) < 200))
     d.add_for(short, lambda n: [(n >= 5, 10, _said(n, " bullets con respuestas concisas"), None)])
     return d.column()
 

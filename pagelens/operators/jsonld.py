@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import every, half_up, let, no_strings
+from ..functions.text import closed, every, half_up, let, no_strings
 
 SCRIPT = r"(?i)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>([\s\S]*?)</script>"
 
@@ -191,7 +191,7 @@ def parse_blocks(scripts: pd.Series) -> pd.DataFrame:
 
 
 def scripts(html: Column) -> Column:
-    return every(html, SCRIPT, 1)
+    return every(closed(html, "script"), SCRIPT, 1)
 
 
 def has_flags(types: Column) -> list[Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.text import WS, count, decode, every, filled, first, let, strip_tags, trim, units
+from ..functions.text import WS, closed, count, decode, every, filled, first, let, strip_tags, trim, units, without_elements
 
 TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title>"
 IMAGE = r"(?i)<img[^>]*>"
@@ -16,13 +16,13 @@ HREFLANG = [
     r"(?i)<link[^>]+rel=[\"']alternate[\"'][^>]+hreflang=[\"']([^\"']+)[\"'][^>]+href=[\"']([^\"']+)[\"']",
     r"(?i)<link[^>]+hreflang=[\"']([^\"']+)[\"'][^>]+rel=[\"']alternate[\"'][^>]+href=[\"']([^\"']+)[\"']",
 ]
-SCRIPTS, STYLES, NOSCRIPTS = r"(?i)<script[\s\S]*?</script>", r"(?i)<style[\s\S]*?</style>", r"(?i)<noscript[\s\S]*?</noscript>"
+ELEMENTS = {name: rf"(?i)<{name}[\s\S]*?</{name}>" for name in ("script", "style", "noscript")}
 SKIPPED = ("#", "mailto:", "tel:", "javascript:")
 
 
 def title(html: Column) -> Column:
     """``{value,length,ok}``; ok from 30 to 60 units; null without the tag, empty for an empty one."""
-    return measured(trim(decode(first(html, TITLE))), 30, 60)
+    return measured(trim(decode(first(closed(html, "title"), TITLE))), 30, 60)
 
 
 def measured(value: Column, least: int, most: int) -> Column:
@@ -47,7 +47,7 @@ def description(html: Column) -> Column:
 
 def headings(html: Column) -> Column:
     """Texts of h1 to h6, empty ones dropped, and counts; ok with a single h1."""
-    found = {f"h{i}": F.filter(F.transform(every(html, rf"(?i)<h{i}[^>]*>([\s\S]*?)</h{i}>", 1), lambda x: trim(decode(strip_tags(x)))), lambda x: x != "") for i in range(1, 7)}
+    found = {f"h{i}": F.filter(F.transform(every(closed(html, f"h{i}"), rf"(?i)<h{i}[^>]*>([\s\S]*?)</h{i}>", 1), lambda x: trim(decode(strip_tags(x)))), lambda x: x != "") for i in range(1, 7)}
     counted = lambda h: F.struct(*[h[n].alias(n) for n in found], *[F.size(h[f"h{i}"]).alias(f"h{i}_count") for i in (1, 2, 3)], (F.size(h["h1"]) == 1).alias("ok"))
     return let(F.struct(*[c.alias(n) for n, c in found.items()]), counted)
 
@@ -95,9 +95,9 @@ def images(facts: Column, url: Column) -> Column:
 
 def raw_links(html: Column) -> Column:
     """``array<struct<href,anchor>>`` of links as written, without fragments of this page and non-web schemes."""
-    pairs = F.zip_with(every(html, LINK, 1), every(html, LINK, 2), lambda h, t: F.struct(trim(h).alias("href"), F.substring(trim(decode(strip_tags(t))), 1, 100).alias("anchor")))
+    pairs = lambda head: F.zip_with(every(head, LINK, 1), every(head, LINK, 2), lambda h, t: F.struct(trim(h).alias("href"), F.substring(trim(decode(strip_tags(t))), 1, 100).alias("anchor")))
     keep = lambda p: (p["href"] != "") & ~p["href"].rlike("^(?:" + "|".join(SKIPPED) + ")")
-    return F.filter(pairs, keep)
+    return F.filter(let(closed(html, "a"), pairs), keep)
 
 
 def links(raw: Column, url: Column) -> Column:
@@ -116,14 +116,15 @@ def split_links(found: Column, home: Column) -> Column:
 
 def word_count(html: Column) -> Column:
     """Words outside tags, scripts and styles."""
-    text = strip_tags(F.regexp_replace(F.regexp_replace(html, SCRIPTS, " "), STYLES, " "), " ")
-    return count(text, f"[^{WS}]+")
+    for name in ("script", "style"):
+        html = without_elements(html, name, ELEMENTS[name])
+    return count(strip_tags(html, " "), f"[^{WS}]+")
 
 
 def visible_text(html: Column) -> Column:
     """Text outside tags, scripts, styles and noscript, white space collapsed."""
-    for p in (SCRIPTS, STYLES, NOSCRIPTS):
-        html = F.regexp_replace(html, p, " ")
+    for name, pattern in ELEMENTS.items():
+        html = without_elements(html, name, pattern)
     return trim(F.regexp_replace(F.replace(strip_tags(html, " "), F.lit("&nbsp;"), F.lit(" ")), f"[{WS}]+", " "))
 
 

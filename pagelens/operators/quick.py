@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.text import WS, every, filled, first, let, strip_tags, trim, units
+from ..functions.text import WS, closed, every, filled, first, let, strip_tags, trim, units
 from .page import measured
 
 
@@ -25,7 +25,7 @@ def quick_html(html: Column, url: Column) -> Column:
         "title": trim(first(html, "(?i)<title[^>]*>([^<]*)</title>")),
         "description": trim(_meta(html, "name", "description")),
         "canonical": trim(first(html, f"(?i)<link[{WS}]+rel=[\"']canonical[\"'][{WS}]+href=[\"']([^\"']*)[\"']")),
-        **{f"h{i}": F.filter(F.transform(every(html, rf"(?i)<h{i}[^>]*>([\s\S]*?)</h{i}>", 1), lambda x: trim(_text(x))), lambda x: x != "") for i in (1, 2, 3)},
+        **{f"h{i}": F.filter(F.transform(every(closed(html, f"h{i}"), rf"(?i)<h{i}[^>]*>([\s\S]*?)</h{i}>", 1), lambda x: trim(_text(x))), lambda x: x != "") for i in (1, 2, 3)},
         "langs": every(html, "(?i)<link[^>]+hreflang=[\"']([^\"']+)[\"'][^>]*>", 1),
         **{f"og_{n}": F.nullif(_meta(html, "property", f"og:{n}"), F.lit("")) for n in ("title", "description", "image", "type")},
         "card": F.nullif(_meta(html, "name", "twitter:card"), F.lit("")),

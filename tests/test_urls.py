@@ -15,6 +15,8 @@ BASE = "http://h.com/a/b/c?q#f"
         ("http:/x", "http://h.com/x"), ("http:///x", "http://x/"), ("mailto:a@b.c", "mailto:a@b.c"), ("JAVASCRIPT:x(1)", "javascript:x(1)"), ("http://user:pw@H.com/p", "http://user:pw@h.com/p"),
         ("http://[::1]:8080/", "http://[::1]:8080/"), ("http://0x7f.1/", "http://127.0.0.1/"), ("http://bücher.de/", "http://xn--bcher-kva.de/"), (" \n/x\t", "http://h.com/x"), ("/a?b c#d e", "http://h.com/a?b%20c#d%20e"),
         ("/De%%%", "http://h.com/De%%%"), ("?x'y", "http://h.com/a/b/c?x%27y"), ("http://a b/", None), ("http://h:99999/", None), ("http://", None), ("http://1.2.3.256/", None),
+        ("http://straße.de/", "http://xn--strae-oqa.de/"), ("http://FAẞ.de/", "http://xn--fa-hia.de/"), ("http://βόλος.com/", "http://xn--nxasmm1c.com/"), ("http://ＧＯ。com/", "http://go.com/"), ("http://xn--bcher-kva.de/", "http://xn--bcher-kva.de/"),
+        ("http://☃.net/", "http://xn--n3h.net/"), ("http://a\u00adb.c/", "http://ab.c/"), ("http://a:\u0663/", None), ("http://\u0301a.de/", None),
     ],
 )
 def test_resolve(href, want):
