@@ -98,10 +98,12 @@ s AS (SELECT seq AS k, url, 'mobile' AS strategy FROM p UNION ALL SELECT seq + 3
 SELECT url, strategy, 'acme' AS client, 'r1' AS run_id, CASE WHEN k % 11 = 5 THEN '{"error":{"message":"quota"}}' ELSE
   '{"lighthouseResult":{"finalUrl":"' || url || '","categories":{"performance":{"score":' || CAST(CAST(k % 101 AS DOUBLE) / 100 AS STRING) || '},"seo":{"score":' || CASE WHEN k % 4 = 0 THEN 'null' ELSE '0.925' END || '},"best-practices":{"score":1}},' ||
   '"audits":{"largest-contentful-paint":{"title":"LCP","score":' || CASE k % 4 WHEN 0 THEN 'null' WHEN 1 THEN '0.5' WHEN 2 THEN '0.9' ELSE '0.25' END || ',"numericValue":' || CAST(1000 + k AS STRING) || '.5,"numericUnit":"millisecond","displayValue":"x"},' ||
+  '"cumulative-layout-shift":{"title":"CLS","score":0.9,"numericValue":0.' || CAST(k % 10 AS STRING) || ',"numericUnit":"unitless"},"speed-index":{"title":"SI","score":0.89},' || CASE WHEN k % 5 = 0 THEN '"interactive":{"title":"TTI","numericValue":7,"numericUnit":"millisecond"},' ELSE '' END ||
+  '"server-response-time":{"title":"TTFB","score":1,"numericValue":' || CAST(k % 50 AS STRING) || ',"numericUnit":"millisecond"},"dom-size":{"title":"DOM","score":0.4,"numericValue":' || CAST(k AS STRING) || ',"numericUnit":"element"},' ||
   '"unused-javascript":{"title":"JS","score":' || CASE WHEN k % 3 = 0 THEN '0.95' ELSE '0.5' END || ',"details":{"overallSavingsMs":' || CAST(k % 5 * 100 AS STRING) || ',"overallSavingsBytes":' || CAST(k % 3 * 50 AS STRING) || ',"items":[{"url":"u1","totalBytes":10,"wastedBytes":5},{"url":"u2"}]}},' ||
   '"unused-css-rules":{"title":"CSS","score":0.1,"details":{"overallSavingsMs":200,"items":[]}},"redirects":{"title":"R","score":0.4},' ||
   '"meta-description":{"title":"MD","score":' || CASE WHEN k % 2 = 0 THEN '0' ELSE '1' END || '},"image-alt":{"title":"IA","score":0,"details":{"items":[{"url":"a"},{"url":"b"},{"url":"c"},{"url":"d"}]}},"network-requests":{"title":"N","details":{"items":[{"url":"a"},{"url":"b"}]}}}}' ||
-  CASE WHEN k % 6 = 1 THEN '' ELSE ',"loadingExperience":{"overall_category":"' || CASE k % 3 WHEN 0 THEN 'FAST' WHEN 1 THEN 'AVERAGE' ELSE 'SLOW' END || '","metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":' || CAST(2000 + k AS STRING) || ',"category":"AVERAGE"}}}' END || '}' END AS raw FROM s
+  CASE WHEN k % 6 = 1 THEN '' ELSE ',"loadingExperience":{"overall_category":"' || CASE k % 3 WHEN 0 THEN 'FAST' WHEN 1 THEN 'AVERAGE' ELSE 'SLOW' END || '","metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":' || CAST(2000 + k AS STRING) || ',"category":"AVERAGE"}' || CASE WHEN k % 2 = 0 THEN ',"CUMULATIVE_LAYOUT_SHIFT_SCORE":{"percentile":' || CAST(k % 30 AS STRING) || ',"category":"FAST"},"INTERACTION_TO_NEXT_PAINT":{"percentile":200,"category":"SLOW"}' ELSE '' END || '}}' END || '}' END AS raw FROM s
 """
 
 

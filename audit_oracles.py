@@ -161,14 +161,15 @@ def bounded(p: str, left: bool = True, right: bool = True) -> str:
     return (r"\b" if left else "") + p + (r"\b" if right else "")
 
 
-def _points(*steps: tuple[str | None, int, int, int]) -> tuple[str, str, str]:
-    """SQL for points, signals and gaps of a ladder of (condition, points, signal?, gap?)."""
-    out = []
-    for k in (1, 2, 3):
-        whens = " ".join(f"WHEN coalesce({s[0]}, false) THEN {s[k]}" for s in steps if s[0])
-        last = next((s[k] for s in steps if not s[0]), 0)
-        out.append(f"(CASE {whens} ELSE {last} END)" if whens else str(last))
-    return tuple(out)
+def _points(*steps: tuple) -> tuple[str, str, str]:
+    """SQL for points, signals and gaps of a ladder of (condition, points, signal?, gap); a gap is a priority and SQL for its text, or 0."""
+
+    def ladder(value) -> str:
+        whens = " ".join(f"WHEN coalesce({s[0]}, false) THEN {value(s)}" for s in steps if s[0])
+        last = next((value(s) for s in steps if not s[0]), value((None, 0, 0, 0)))
+        return f"(CASE {whens} ELSE {last} END)"
+
+    return ladder(lambda s: s[1]), ladder(lambda s: s[2]), ladder(lambda s: f"[({q(s[3][0])}, {s[3][1]})]" if s[3] else "[]")
 
 
 def _any(*names: str) -> str:
@@ -186,46 +187,46 @@ _FIT = "len(list_filter(types, x -> list_contains({}, x)))".format(_list(citabil
 _SHORT = f"len(list_filter({every('h', '<li\\b[^>]*>[\\s\\S]*?</li>')}, x -> {units(strip('x'))} < 200))"
 DIMENSIONS = {
     "freshness": [
-        _points((f"len(list_filter({AGE}, x -> x BETWEEN 0 AND 90)) > 0", 60, 1, 0), (f"len(list_filter({AGE}, x -> x BETWEEN 0 AND 365)) > 0", 35, 1, 0), ("len(dates) > 0", 15, 0, 1), (None, 0, 0, 1)),
-        _points((_any("Article", "BlogPosting", "NewsArticle"), 25, 1, 0), (None, 0, 0, 1)),
+        _points((f"len(list_filter({AGE}, x -> x BETWEEN 0 AND 90)) > 0", 60, 1, 0), (f"len(list_filter({AGE}, x -> x BETWEEN 0 AND 365)) > 0", 35, 1, 0), ("len(dates) > 0", 15, 0, ("medium", q("Fechas detectadas pero >1 año de antigüedad"))), (None, 0, 0, ("high", q("No se detectan fechas explícitas en el contenido visible")))),
+        _points((_any("Article", "BlogPosting", "NewsArticle"), 25, 1, 0), (None, 0, 0, ("medium", q("No hay schema Article/BlogPosting con fechas estructuradas")))),
         _points((has("txt", f"última{S}+actualizaci[oó]n|last{S}+updated|updated{S}+on|actualizado{S}+el"), 15, 1, 0)),
     ],
     "authorship": [
         _points((_any("Person"), 35, 1, 0)),
         _points((_any("Article", "BlogPosting", "NewsArticle"), 20, 1, 0)),
-        _points((has("h", "<[^>]+(?:class|id)=[\"'][^\"']*(?:author|byline|writer)[^\"']*[\"']"), 20, 1, 0), (_BY, 12, 1, 0), (has("h", "<a[^>]+rel=[\"']author[\"']"), 10, 0, 0), (None, 0, 0, 1)),
-        _points((has("txt", f"about{S}+the{S}+author|sobre{S}+el{S}+autor|biograf[íi]a"), 15, 1, 0), (f"{_BY} OR {_any('Person')}", 0, 0, 1)),
+        _points((has("h", "<[^>]+(?:class|id)=[\"'][^\"']*(?:author|byline|writer)[^\"']*[\"']"), 20, 1, 0), (_BY, 12, 1, 0), (has("h", "<a[^>]+rel=[\"']author[\"']"), 10, 0, 0), (None, 0, 0, ("high", q("No se detecta autor en el contenido")))),
+        _points((has("txt", f"about{S}+the{S}+author|sobre{S}+el{S}+autor|biograf[íi]a"), 15, 1, 0), (f"{_BY} OR {_any('Person')}", 0, 0, ("medium", q("Hay autor pero falta bio visible")))),
         _points((has("h", r"linkedin\.com/in/|twitter\.com/|x\.com/"), 10, 1, 0)),
     ],
     "factuality": [
-        _points((f"{_N} >= 5", 50, 1, 0), (f"{_N} >= 2", 30, 1, 0), (f"{_N} = 1", 10, 0, 0), (None, 0, 0, 1)),
+        _points((f"{_N} >= 5", 50, 1, 0), (f"{_N} >= 2", 30, 1, 0), (f"{_N} = 1", 10, 0, 0), (None, 0, 0, ("high", q("Pocos o ningún dato numérico verificable en el contenido")))),
         _points((has("txt", rf"\bvs\b|\bversus\b|comparado{S}+con|en{S}+comparación"), 15, 1, 0)),
-        _points((f"{_C} >= 2", 25, 1, 0), (f"{_C} = 1", 12, 0, 0), (None, 0, 0, 1)),
+        _points((f"{_C} >= 2", 25, 1, 0), (f"{_C} = 1", 12, 0, 0), (None, 0, 0, ("medium", q('No se detectan citas explícitas a fuentes ("según X")')))),
         _points((has("txt", rf"(?:entre|from|desde){S}+\d{{4}}{S}+(?:y|to|hasta|and){S}+\d{{4}}"), 10, 1, 0)),
     ],
     "structure": [
-        _points(("n1 = 1", 20, 1, 0), (None, 0, 0, 1)),
-        _points(("n2 >= 2", 20, 1, 0), ("n2 = 1", 10, 0, 0), (None, 0, 0, 1)),
+        _points(("n1 = 1", 20, 1, 0), (None, 0, 0, ("high", "CASE WHEN n1 = 0 THEN 'No hay H1 en la página' ELSE n1 || ' H1 detectados (debe ser 1)' END"))),
+        _points(("n2 >= 2", 20, 1, 0), ("n2 = 1", 10, 0, 0), (None, 0, 0, ("medium", q("Falta jerarquía con H2")))),
         _points(("n3 >= 2", 15, 1, 0)),
-        _points((f"{_LISTS} >= 3", 20, 1, 0), (f"{_LISTS} >= 1", 12, 1, 0), (None, 0, 0, 1)),
+        _points((f"{_LISTS} >= 3", 20, 1, 0), (f"{_LISTS} >= 1", 12, 1, 0), (None, 0, 0, ("medium", q("Sin listas en el contenido")))),
         _points((has("h", r"<table\b"), 15, 1, 0)),
-        _points((f"{_AVG} < 300", 10, 1, 0), (f"{_AVG} > 600", 0, 0, 1)),
+        _points((f"{_AVG} < 300", 10, 1, 0), (f"{_AVG} > 600", 0, 0, ("low", q("Párrafos muy largos (>600 caracteres promedio)")))),
     ],
     "citations": [
-        _points(("known >= 3", 60, 1, 0), ("known >= 1", 30, 1, 0), ("n_ext >= 3", 20, 1, 0), ("n_ext >= 1", 10, 0, 0), (None, 0, 0, 1)),
+        _points(("known >= 3", 60, 1, 0), ("known >= 1", 30, 1, 0), ("n_ext >= 3", 20, 1, 0), ("n_ext >= 1", 10, 0, 0), (None, 0, 0, ("medium", q("Sin enlaces externos a fuentes")))),
         _points((has("h", "<a[^>]+rel=[\"'][^\"']*nofollow"), 10, 1, 0)),
         _points((has("h", rf"<sup\b[^>]*>{S}*\[?\d+\]?{S}*</sup>|references|referencias|bibliograf[íi]a"), 30, 1, 0)),
     ],
     "expertise": [
         _points((has("txt", r"\b(?:PhD|MD|MBA|CFA|CPA|ingeniero|ingeniera|doctor|doctora|profesor|profesora|expert|certificado|certificada|founder|CEO|CTO|director|directora)\b"), 25, 1, 0)),
-        _points(("n_about > 0", 20, 1, 0), (None, 0, 0, 1)),
+        _points(("n_about > 0", 20, 1, 0), (None, 0, 0, ("low", q("No se enlaza a página About/Equipo")))),
         _points((_any("Organization"), 20, 1, 0)),
         _points((has("txt", rf"\d+{S}+(?:años|years){S}+(?:de{S}+)?(?:experiencia|experience|en{S}+el{S}+mercado|in{S}+the{S}+industry)"), 15, 1, 0)),
         _points((has("txt", rf"casos{S}+de{S}+[ée]xito|case{S}+stud(?:y|ies)|testimoniales|testimonials"), 15, 1, 0)),
         _points((_any("Organization"), 10, 0, 0)),
     ],
     "machine_readable": [
-        _points(("blocks >= 3", 35, 1, 0), ("blocks >= 1", 20, 1, 0), (None, 0, 0, 1)),
+        _points(("blocks >= 3", 35, 1, 0), ("blocks >= 1", 20, 1, 0), (None, 0, 0, ("high", q("Sin schema JSON-LD")))),
         _points((f"{_FIT} >= 2", 25, 1, 0), (f"{_FIT} = 1", 12, 0, 0)),
         _points((f"coalesce({meta('h', 'og:title')}, '') <> '' AND coalesce({meta('h', 'og:description')}, '') <> ''", 12, 1, 0)),
         _points((f"{units(meta('h', 'description'))} BETWEEN 120 AND 160", 8, 1, 0)),
@@ -234,7 +235,7 @@ DIMENSIONS = {
         _points(("n_lang >= 2", 7, 1, 0)),
     ],
     "answer_format": [
-        _points((_any("FAQPage"), 50, 1, 0), (None, 0, 0, 1)),
+        _points((_any("FAQPage"), 50, 1, 0), (None, 0, 0, ("medium", q("Sin schema FAQPage")))),
         _points((_any("HowTo"), 25, 1, 0)),
         _points((has("h", r"<h[2-4][^>]*>[^<]*\?[^<]*</h[2-4]>"), 20, 1, 0)),
         _points((has("h", r"<dl\b[\s\S]*?</dl>"), 15, 1, 0)),
@@ -251,7 +252,7 @@ def _days(p: str, y: int, m: int, d: int) -> str:
 
 
 AUTHORITY = "|".join(a.replace(".", r"\.") for a in citability.AUTHORITIES)
-_PARTS = ", ".join(f"least(100, {' + '.join(p[0] for p in ps)}) AS {n}, {' + '.join(p[1] for p in ps)} AS {n}_signals, {' + '.join(p[2] for p in ps)} AS {n}_gaps" for n, ps in DIMENSIONS.items())
+_PARTS = ", ".join(f"least(100, {' + '.join(p[0] for p in ps)}) AS {n}, {' + '.join(p[1] for p in ps)} AS {n}_signals, {' || '.join(p[2] for p in ps)} AS {n}_gaps" for n, ps in DIMENSIONS.items())
 _TOTAL = " + ".join(f"{n} * {float(w)}::DOUBLE / 100" for n, w in citability.WEIGHTS.items())
 _ALT_A, _ALT_B = (every("h", p, 1) for p in ("<link[^>]+rel=[\"']alternate[\"'][^>]+hreflang=[\"']([^\"']+)[\"'][^>]+href=[\"']([^\"']+)[\"']", "<link[^>]+hreflang=[\"']([^\"']+)[\"'][^>]+rel=[\"']alternate[\"'][^>]+href=[\"']([^\"']+)[\"']"))
 _REF_A, _REF_B = (every("h", p, 2) for p in ("<link[^>]+rel=[\"']alternate[\"'][^>]+hreflang=[\"']([^\"']+)[\"'][^>]+href=[\"']([^\"']+)[\"']", "<link[^>]+hreflang=[\"']([^\"']+)[\"'][^>]+rel=[\"']alternate[\"'][^>]+href=[\"']([^\"']+)[\"']"))
@@ -308,16 +309,56 @@ x1 AS (SELECT site, a, count(*) AS n, sum(count(*)) OVER (PARTITION BY site ORDE
 x AS (SELECT x0.* FROM x0 JOIN x1 ON x1.site = x0.site AND x1.a = x0.a WHERE b IS NULL OR earlier < {2 * max_urls})"""
 
 
-#: w: links of ok pages as a crawl sees them; f0 to f3: URLs found at each depth.
-CRAWL = f""",
-w0 AS (SELECT site, regexp_replace(std, '#.*$', '') AS src, std, unnest({every("h", "<a[^>]+href=[\"']([^\"']+)[\"']", 1)}) AS w FROM s WHERE ok),
+#: w: links of ok pages as a crawl sees them, by first place; f0 to f3: URLs found at each depth without a stop.
+LINKED = f""",
+w0 AS (SELECT site, regexp_replace(std, '#.*$', '') AS src, std, unnest({every("h", "<a[^>]+href=[\"']([^\"']+)[\"']", 1)}) AS w, generate_subscripts({every("h", "<a[^>]+href=[\"']([^\"']+)[\"']", 1)}, 1) AS p FROM s WHERE ok),
 w1 AS (SELECT *, {trim("w")} AS href FROM w0),
-w2 AS (SELECT site, src, regexp_replace(CASE WHEN href LIKE 'http%' THEN {ENCODE.format(x="href")} WHEN href LIKE '/%' THEN site || {ENCODE.format(x="href")} WHEN href = '' OR href LIKE '#%' THEN std
+w2 AS (SELECT site, src, p, regexp_replace(CASE WHEN href LIKE 'http%' THEN {ENCODE.format(x="href")} WHEN href LIKE '/%' THEN site || {ENCODE.format(x="href")} WHEN href = '' OR href LIKE '#%' THEN std
     WHEN href = '../x' THEN site || regexp_replace(regexp_replace({PATH.format(x="std")}, '[^/]*$', ''), '[^/]+/$', '') || 'x' END, '#.*$', '') AS href FROM w1),
-w AS (SELECT DISTINCT site, src, href FROM w2 WHERE regexp_extract(href, '^(https?://[^/?#]+)', 1) = site AND NOT regexp_matches(href, '\\.(?:jpg|jpeg|png|gif|svg|webp|ico|css|js|pdf|zip|mp4|webm|woff2?|ttf|eot|xml|json)(?:\\?|$)', 'i')),
+w AS (SELECT site, src, href, min(p) AS p FROM w2 WHERE regexp_extract(href, '^(https?://[^/?#]+)', 1) = site AND NOT regexp_matches(href, '\\.(?:jpg|jpeg|png|gif|svg|webp|ico|css|js|pdf|zip|mp4|webm|woff2?|ttf|eot|xml|json)(?:\\?|$)', 'i') GROUP BY ALL)"""
+CRAWL = (
+    LINKED
+    + """,
 f0 AS (SELECT DISTINCT site, site || '/' AS url FROM s), f1 AS (FROM f0 UNION SELECT w.site, href FROM w JOIN f0 ON w.src = f0.url AND w.site = f0.site),
 f2 AS (FROM f1 UNION SELECT w.site, href FROM w JOIN f1 ON w.src = f1.url AND w.site = f1.site), f3 AS (FROM f2 UNION SELECT w.site, href FROM w JOIN f2 ON w.src = f2.url AND w.site = f2.site)
 """
+)
+
+
+def _found(max_urls: int) -> str:
+    """h: the URLs of each site as discovery numbers them from 0; a crawl follows a page's links while fewer than max_urls URLs were found before it."""
+    clean = lambda x: f"regexp_replace(replace({x}, 'ü', '%C3%BC'), '#.*$', '')"
+    rounds = ["c0 AS (SELECT DISTINCT site, site || '/' AS url, 0 AS n FROM s)"]
+    known = "SELECT * FROM c0"
+    for r in range(3):
+        rounds.append(f"""a{r} AS (SELECT w.site, w.href AS url, min((c.n, w.p)) AS place FROM c{r} c JOIN w ON w.site = c.site AND w.src = c.url WHERE (w.site, w.href) NOT IN (SELECT (site, url) FROM ({known})) GROUP BY w.site, w.href),
+b{r} AS (SELECT a.site, url, struct_extract(place, 1) AS parent, k.n + row_number() OVER (PARTITION BY a.site ORDER BY place) - 1 AS n FROM a{r} a JOIN (SELECT site, count(*) AS n FROM ({known}) GROUP BY site) k ON k.site = a.site),
+c{r + 1} AS (SELECT site, url, n FROM b{r} QUALIFY min(n) OVER (PARTITION BY site, parent) < {max_urls})""")
+        known += f" UNION ALL SELECT * FROM c{r + 1}"
+    crawled = ",\n".join(rounds)
+    return LINKED + _grown(max_urls) + f""", {crawled},
+h0 AS (SELECT DISTINCT s.site, CASE WHEN (SELECT count(*) FROM x WHERE x.site = s.site) >= 3 THEN 'sitemap' WHEN (SELECT count(*) FROM locs WHERE locs.site = s.site AND locs.url = s.site || '/sitemap_index.xml') >= 3 THEN 'sitemap_index' ELSE 'crawl' END AS source FROM s),
+h1 AS (SELECT site, 'sitemap' AS source, {clean("loc")} AS url, a, coalesce(b, 0) AS b FROM x UNION ALL SELECT site, 'sitemap_index', {clean("loc")}, pos, 0 FROM locs WHERE url = site || '/sitemap_index.xml'
+  UNION ALL SELECT site, 'crawl', url, n, 0 FROM ({known})),
+h AS (SELECT site, source, url, row_number() OVER (PARTITION BY site ORDER BY min((a, b))) - 1 AS n FROM h0 JOIN h1 USING (site, source) GROUP BY site, source, url)"""
+
+
+def _cap_report(max_urls: int) -> str:
+    return f"SELECT site, source, count(*) AS total_discovered, least(count(*), {max_urls}) AS analyzed, count(*) > {max_urls} AS truncated FROM h GROUP BY site, source"
+
+
+def discovery_sql(max_urls: int = 100) -> dict[str, str]:
+    """Queries that depend on where discovery stops."""
+    found = BASE + _found(max_urls)
+    page_url = "regexp_replace(regexp_replace(std, '#.*$', ''), '^(https?://[^/?]+)$', '\\1/')"
+    out = {
+        "discovery_source": found + " SELECT site, source, count(*) AS n FROM h GROUP BY site, source",
+        "discovery_cap": found + " " + _cap_report(max_urls),
+        "crawl_report": found + SLIM + f""", own AS (SELECT site, seq, ok, title, {page_url} AS url FROM m QUALIFY row_number() OVER (PARTITION BY site, {page_url} ORDER BY seq, m.url) = 1),
+          got AS (SELECT own.site, count(*) AS pages_analyzed, count(*) FILTER (ok) AS pages_ok, count(*) FILTER (ok AND coalesce(title, '') <> '') AS categorized FROM own JOIN h ON h.site = own.site AND h.url = own.url AND h.n < {max_urls} GROUP BY own.site)
+          SELECT d.*, pages_analyzed, pages_ok, categorized FROM ({_cap_report(max_urls)}) d LEFT JOIN got ON got.site = d.site""",
+    }
+    return {name: _spelled(sql) for name, sql in out.items()}
 
 
 def _section(cap: bool = True) -> str:
@@ -352,19 +393,18 @@ def _rating(x: str) -> str:
 
 
 def _recommendations() -> str:
+    parts = [("high", "fix_existing", 1, "errors"), ("medium", "enhance_existing", 3, "warnings"), ("medium", "aeo_improvement", 4, "CASE WHEN known AND NOT invalid THEN aeo ELSE [] END")]
+    of = " UNION ALL ".join(f"SELECT seq, {q(p)} AS priority, {q(c)} AS category, {n} AS phase, pos AS a, generate_subscripts({x}, 1) AS b, type, unnest({x}) AS message, NULL AS fields FROM v" for p, c, n, x in parts)
     return f"""
-SELECT seq, priority, category, count(*) AS n FROM (
-  SELECT seq, 'high' AS priority, 'fix_existing' AS category, unnest(errors) AS x FROM v
-  UNION ALL SELECT seq, 'medium', 'enhance_existing', unnest(warnings) FROM v
-  UNION ALL SELECT seq, 'medium', 'aeo_improvement', unnest(CASE WHEN known AND NOT invalid THEN aeo ELSE [] END) FROM v
-  UNION ALL SELECT seq, priority, 'add_schema', type FROM ({_missing()})) GROUP BY ALL"""
+SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY phase, a, b) - 1 AS pos, priority, category, type, message, fields FROM ({of}
+  UNION ALL SELECT seq, priority, 'add_schema', CASE priority WHEN 'high' THEN 2 ELSE 5 END, rule, 0, type, CASE priority WHEN 'high' THEN 'Añadir' ELSE 'Considerar' END || ' schema ' || type || ': ' || reason, fields FROM ({_missing()}))"""
 
 
 def _missing() -> str:
     parts = []
-    for where, either, name, priority, _, fields in jsonld.EXPECTED:
+    for rule, (where, either, name, priority, reason, fields) in enumerate(jsonld.EXPECTED):
         here = "" if where is None else f" AND regexp_matches(page_type, {q(where)})"
-        parts.append(f"SELECT seq, page_type, {q(name)} AS type, {q(priority)} AS priority, {q('|'.join(fields))} AS fields FROM w9 WHERE NOT list_has_any(seen, {_list(either)}){here}")
+        parts.append(f"SELECT seq, page_type, {q(name)} AS type, {q(priority)} AS priority, {q('|'.join(fields))} AS fields, {rule} AS rule, {q(reason)} AS reason FROM w9 WHERE NOT list_has_any(seen, {_list(either)}){here}")
     return f"WITH w9 AS (SELECT s.seq, {PAGE_TYPE} AS page_type, coalesce((SELECT list(type) FILTER (type IS NOT NULL) FROM v WHERE v.seq = s.seq), []) AS seen FROM s WHERE h IS NOT NULL) " + " UNION ALL ".join(parts)
 
 
@@ -372,7 +412,7 @@ def _spelled(sql: str) -> str:
     """Lambdas and JSON arrows as DuckDB wants them: the one by keyword, the other in parentheses."""
     sql = re.sub(r"\(x, k\) -> ", "lambda x, k: ", sql)
     sql = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql)
-    return re.sub(r"\b([a-z]\w*)((?:->>?(?:'[^']*'|\([^()]*\)|k\b))+)", r"(\1\2)", sql)
+    return re.sub(r"\b([a-z]\w*)((?:->>?(?:'[^']*'|\([^()]*\)|k\b|key\b))+)", r"(\1\2)", sql)
 
 
 def _nulled(x: str) -> str:
@@ -432,11 +472,11 @@ def oracle_sql() -> dict[str, str]:
         "aeo_score": BASE + BLOCKS + VERDICTS + """, w1 AS (SELECT s.seq, coalesce((SELECT sum(weight) FROM heavy WHERE type IN (SELECT type FROM v WHERE v.seq = s.seq AND v.valid)), 0) AS earned, (SELECT count(*) FROM v JOIN heavy ON heavy.type = v.type WHERE v.seq = s.seq AND NOT v.valid) AS bad,
             coalesce((SELECT string_agg(weight::VARCHAR, '|' ORDER BY weight DESC) FROM heavy WHERE type IN (SELECT type FROM v WHERE v.seq = s.seq AND v.valid)), '') AS weights FROM s WHERE h IS NOT NULL), w2 AS (SELECT *, least(100, floor(greatest(0, earned - 2 * bad)::DOUBLE / 50 * 100 + 0.5))::INT AS score FROM w1)
           SELECT seq, score, CASE WHEN score >= 70 THEN 'excellent' WHEN score >= 40 THEN 'good' WHEN score >= 15 THEN 'needs_improvement' ELSE 'poor' END AS rating, bad AS invalid, weights FROM w2""",
-        "missing_schemas": BASE + BLOCKS + VERDICTS + f"SELECT * FROM ({_missing()})",
+        "missing_schemas": BASE + BLOCKS + VERDICTS + f"SELECT seq, page_type, type, priority, fields FROM ({_missing()})",
         "recommendations": BASE + BLOCKS + VERDICTS + _recommendations(),
         "citability_score": BASE + CITED + "SELECT seq, score, CASE WHEN score >= 75 THEN 'excellent' WHEN score >= 55 THEN 'good' WHEN score >= 30 THEN 'needs_improvement' ELSE 'poor' END AS rating FROM c",
     }
-    out |= {f"cit_{n}": BASE + CITED + f"SELECT seq, {n} AS score, {n}_signals AS signals, {n}_gaps AS gaps FROM c" for n in DIMENSIONS}
+    out |= {f"cit_{n}": BASE + CITED + f"SELECT seq, {n} AS score, {n}_signals AS signals, len({n}_gaps) AS gaps FROM c" for n in DIMENSIONS}
     counts = ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in ISSUES.items())
     out |= {
         "site_summary": BASE + CITED + "SELECT s.site, count(*) AS pages_analyzed, count(*) FILTER (s.ok) AS pages_ok, count(*) FILTER (NOT s.ok) AS pages_failed, coalesce(sum(size_bytes) FILTER (s.ok), 0)::BIGINT AS total_bytes, coalesce(floor(avg(size_bytes) FILTER (s.ok) + 0.5), 0)::BIGINT AS avg_bytes_per_page, coalesce(floor(avg(score) FILTER (s.ok) + 0.5), 0)::BIGINT AS avg_citability_score FROM s LEFT JOIN c ON c.seq = s.seq GROUP BY s.site",
@@ -456,8 +496,11 @@ def oracle_sql() -> dict[str, str]:
         "schema_types_found": BASE + BLOCKS + "SELECT site, type, count(*) AS pages FROM (SELECT site, unnest(types) AS type FROM t JOIN s ON s.seq = t.seq WHERE ok) GROUP BY ALL",
     }
     sampled = ["missing_title", "no_h1", "multiple_h1", "missing_meta_description", "missing_canonical", "missing_schema", "broken_internal_links", "heavy_pages", "redirected_pages", "urls_with_tracking_params"]
-    each = " UNION ALL ".join(f"SELECT site, {q(n)} AS issue, seq, url FROM m WHERE {ISSUES[n]}" for n in sampled)
-    out["issue_samples"] = BASE + CITED + SLIM + INBOUND + f"SELECT site, issue, row_number() OVER (PARTITION BY site, issue ORDER BY seq, url) AS rank, url FROM ({each} UNION ALL SELECT site, 'low_citability_pages', seq, url FROM c WHERE ok AND score < 40 UNION ALL SELECT site, 'orphan_pages', seq, url FROM o) QUALIFY rank <= CASE issue WHEN 'broken_internal_links' THEN 3 ELSE 2 END"
+    details = {"multiple_h1": "h1::VARCHAR", "broken_internal_links": "concat_ws(' ', status, error)", "heavy_pages": "floor(size_bytes::DOUBLE / 1024 + 0.5)::BIGINT::VARCHAR", "redirected_pages": "final_url", "urls_with_tracking_params": "array_to_string(tracking, ',')"}
+    each = " UNION ALL ".join(f"SELECT site, {q(n)} AS issue, seq, url, {details.get(n, q(''))} AS detail FROM m WHERE {ISSUES[n]}" for n in sampled)
+    first_gap = "list_sort(" + " || ".join(f"list_transform({n}_gaps, (x, k) -> (CASE x[1] WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, {i}, k, x[2]))" for i, n in enumerate(DIMENSIONS)) + ")[1][4]"
+    out["issue_samples"] = BASE + CITED + SLIM + INBOUND + f"""SELECT site, issue, row_number() OVER (PARTITION BY site, issue ORDER BY seq, url) AS rank, url, detail FROM ({each}
+      UNION ALL SELECT site, 'low_citability_pages', seq, url, concat_ws(': ', score, {first_gap}) FROM c WHERE ok AND score < 40 UNION ALL SELECT site, 'orphan_pages', seq, url, '' FROM o) QUALIFY rank <= CASE issue WHEN 'broken_internal_links' THEN 3 ELSE 2 END"""
     out["site_report"] = BASE + CITED + SLIM + INBOUND + """
       SELECT m.site, count(*) AS pages_analyzed, count(*) FILTER (m.ok) AS pages_ok, coalesce(sum(size_bytes) FILTER (m.ok), 0)::BIGINT AS total_bytes, coalesce(floor(avg(score) FILTER (m.ok) + 0.5), 0)::BIGINT AS avg_citability_score,
         count(*) FILTER (m.ok AND coalesce(title, '') = '') AS missing_title, count(*) FILTER (m.ok AND length(title) > 60) AS title_too_long, count(*) FILTER (m.ok AND n_schema = 0) AS missing_schema, coalesce(sum(bare) FILTER (m.ok), 0)::BIGINT AS images_without_alt,
@@ -484,8 +527,6 @@ d0 AS (SELECT DISTINCT s.site, CASE WHEN (SELECT count(*) FROM x WHERE x.site =
           SELECT n.site, {trim("any_value('# ' || name || chr(10) || chr(10) || CASE WHEN description <> '' THEN '> ' || description || chr(10) || chr(10) ELSE '' END || 'URL: ' || n.site || chr(10) || chr(10)) || coalesce(string_agg(body, chr(10) ORDER BY o), '')")} || chr(10) AS content,
             coalesce(sum(p.n), 0)::BIGINT AS total_pages_categorized, coalesce(string_agg(section, '|' ORDER BY o), '') AS sections FROM n LEFT JOIN p ON p.site = n.site GROUP BY n.site""",
     }
-    lcp = f"{_A}->'largest-contentful-paint'"
-    score = f"({lcp}->>'score')::DOUBLE"
     ids = ["render-blocking-resources", "unused-javascript", "unused-css-rules", "redirects"]
     opp = " UNION ALL ".join(f"SELECT url, strategy, {i} AS i, {q(k)} AS id, {_A}->{q(k)} AS a FROM r" for i, k in enumerate(ids))
     failing = " UNION ALL ".join(f"SELECT url, strategy, {q(kind)} AS kind, {q(k)} AS id, {_A}->{q(k)} AS a FROM r" for kind, k in (("seo", "meta-description"), ("seo", "image-alt"), ("a11y", "image-alt")))
@@ -495,18 +536,21 @@ d0 AS (SELECT DISTINCT s.site, CASE WHEN (SELECT count(*) FROM x WHERE x.site =
     opened = "len(list_filter([({m}->'unused-javascript'->>'score')::DOUBLE, 0.1, 0.4], x -> x < 0.9))".format(m="m->'lighthouseResult'->'audits'")
     out |= {
         "ps_scores": _REPORT + f"SELECT url, strategy, {_percent('performance')} AS performance, {_percent('seo')} AS seo, {_percent('best-practices')} AS best_practices, {_percent('accessibility')} AS accessibility FROM r",
-        "ps_metrics": _REPORT + f"SELECT url, strategy, ({lcp}->>'numericValue')::DOUBLE AS value, {lcp}->>'numericUnit' AS unit, {score} AS score, {_rating(score)} AS rating, json_array_length({_A}->'network-requests'->'details'->'items')::INT AS requests FROM r",
-        "ps_field": _REPORT + "SELECT url, strategy, (j->>'$.loadingExperience.metrics.LARGEST_CONTENTFUL_PAINT_MS.percentile')::DOUBLE AS lcp_p75, j->>'$.loadingExperience.metrics.LARGEST_CONTENTFUL_PAINT_MS.category' AS category, j->>'$.loadingExperience.overall_category' AS overall FROM r",
+        "ps_metrics": _REPORT + f""", k(metric, key) AS (VALUES ('lcp', 'largest-contentful-paint'), ('fcp', 'first-contentful-paint'), ('cls', 'cumulative-layout-shift'), ('tbt', 'total-blocking-time'), ('si', 'speed-index'), ('tti', 'interactive'), ('ttfb', 'server-response-time'),
+            ('total_byte_weight', 'total-byte-weight'), ('dom_size', 'dom-size'), ('main_thread_work', 'mainthread-work-breakdown'), ('bootup_time', 'bootup-time')), a AS (SELECT r.*, metric, {_A}->key AS a FROM r, k)
+          SELECT url, strategy, json_array_length({_A}->'network-requests'->'details'->'items')::INT AS requests, metric, (a->>'numericValue')::DOUBLE AS value, a->>'numericUnit' AS unit, a->>'displayValue' AS display, (a->>'score')::DOUBLE AS score, {_rating("(a->>'score')::DOUBLE")} AS rating FROM a""",
+        "ps_field": _REPORT + """, k(metric, key) AS (VALUES ('lcp', 'LARGEST_CONTENTFUL_PAINT_MS'), ('fcp', 'FIRST_CONTENTFUL_PAINT_MS'), ('cls', 'CUMULATIVE_LAYOUT_SHIFT_SCORE'), ('inp', 'INTERACTION_TO_NEXT_PAINT'), ('ttfb', 'EXPERIMENTAL_TIME_TO_FIRST_BYTE')),
+            a AS (SELECT r.*, metric, j->'loadingExperience'->'metrics'->key AS a FROM r, k) SELECT url, strategy, j->>'$.loadingExperience.overall_category' AS overall, metric, (a->>'percentile')::DOUBLE AS p75, a->>'category' AS category FROM a""",
         "ps_opportunities": _REPORT + f""", a AS ({opp}), b AS (SELECT *, (a->>'score')::DOUBLE AS score, (a->>'$.details.overallSavingsMs')::DOUBLE AS savings_ms, coalesce((a->>'$.details.overallSavingsBytes')::DOUBLE, 0) AS size FROM a WHERE (a->>'score')::DOUBLE < 0.9)
-          SELECT url, strategy, row_number() OVER (PARTITION BY url, strategy ORDER BY coalesce(savings_ms, 0) DESC, size DESC, i) - 1 AS pos, id, score, savings_ms, coalesce(json_array_length(a->'details'->'items'), 0)::INT AS affected, {_rating("score")} AS rating FROM b""",
+          SELECT url, strategy, row_number() OVER (PARTITION BY url, strategy ORDER BY coalesce(savings_ms, 0) DESC, size DESC, i) - 1 AS pos, id, a->>'title' AS title, score, savings_ms, coalesce(json_array_length(a->'details'->'items'), 0)::INT AS affected, {_rating("score")} AS rating FROM b""",
         "ps_failed_audits": _REPORT + f", a AS ({failing}) SELECT url, strategy, kind, id, coalesce(json_array_length(a->'details'->'items'), 0)::INT AS affected, least(3, coalesce(json_array_length(a->'details'->'items'), 0))::INT AS sampled FROM a WHERE (a->>'score')::DOUBLE <> 1",
         "ps_summary": runs + f"""SELECT url, {perf.format("m")} AS mobile, {perf.format("d")} AS desktop, {cwv.format("m")} AS cwv_mobile, coalesce({cwv.format("m")} = 'FAST', false) AS passes_mobile, coalesce({cwv.format("d")} = 'FAST', false) AS passes_desktop,
           array_to_string(list_filter([CASE WHEN m IS NULL THEN 'PageSpeed mobile: quota' END, CASE WHEN d IS NULL THEN 'PageSpeed desktop: ' || CASE WHEN n_d = 0 THEN 'timeout' ELSE 'quota' END END], x -> x IS NOT NULL), '|') AS errors FROM u""",
         "ps_record": runs + f"""SELECT url, 'acme' AS client, 'r1' AS run_id, m IS NOT NULL AS has_mobile, d IS NOT NULL AS has_desktop, CASE WHEN m IS NULL THEN -1 ELSE {opened} END AS opportunities,
           CASE WHEN m IS NULL THEN -1 ELSE 1 + ((m->'lighthouseResult'->'audits'->'meta-description'->>'score')::DOUBLE <> 1)::INT END AS seo_issues FROM u""",
     }
-    gaps = " UNION ALL ".join(f"SELECT site, {q(n)} AS dimension, {n}_gaps AS n FROM c" for n in DIMENSIONS)
-    out["citability_gaps"] = BASE + CITED + f"SELECT site, dimension, sum(n)::BIGINT AS n FROM ({gaps}) GROUP BY ALL HAVING sum(n) > 0"
+    gaps = " UNION ALL ".join(f"SELECT seq, {k} AS d, {q(n)} AS dimension, unnest({n}_gaps) AS g, generate_subscripts({n}_gaps, 1) AS i FROM c" for k, n in enumerate(DIMENSIONS))
+    out["citability_gaps"] = BASE + CITED + f"""SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY CASE g[1] WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, d, i) - 1 AS pos, dimension, g[1] AS priority, g[2] AS message FROM ({gaps})"""
     out["quick_audit"] = f"""SELECT e.url, a.title, b.total AS links, d.n AS blocks, p.mobile AS performance, f.robots, p.errors FROM ({fixture.duck(fixture.PAGES)}) e
       JOIN ({out["quick_html"]}) a ON a.seq = e.seq JOIN ({out["quick_links"]}) b ON b.seq = e.seq JOIN ({out["quick_schema"]}) d ON d.seq = e.seq JOIN ({out["ps_summary"]}) p ON p.url = e.url JOIN ({out["aux_file_facts"]}) f ON f.site = e.site"""
-    return {name: _spelled(sql) for name, sql in out.items()}
+    return {name: _spelled(sql) for name, sql in out.items()} | discovery_sql()

@@ -267,8 +267,8 @@ def missing_schemas(spark, sf_dir):
 
 @query
 def recommendations(spark, sf_dir):
-    r = structured(spark, sf_dir).select("seq", F.explode("schema_validation.recommendations").alias("r"))
-    return r.groupBy("seq", F.col("r.priority").alias("priority"), F.col("r.category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    r = structured(spark, sf_dir).select("seq", F.posexplode("schema_validation.recommendations").alias("pos", "r"))
+    return _select(r, pos="pos", priority="r.priority", category="r.category", type="r.schema_type", message="r.message", fields=_join("r.example_fields"))
 
 
 # ---- citability ----
@@ -294,8 +294,8 @@ def citability_score(spark, sf_dir):
 
 @query
 def citability_gaps(spark, sf_dir):
-    g = complete(spark, sf_dir).select("site", F.explode("citability.gaps").alias("g"))
-    return g.groupBy("site", F.col("g.dimension").alias("dimension")).agg(F.count(F.lit(1)).alias("n"))
+    g = complete(spark, sf_dir).select("seq", F.posexplode("citability.gaps").alias("pos", "g"))
+    return _select(g, pos="pos", dimension="g.dimension", priority="g.priority", message="g.message")
 
 
 # ---- sites ----
@@ -369,7 +369,7 @@ def schema_types_found(spark, sf_dir):
 def issue_samples(spark, sf_dir):
     p = slim(spark, sf_dir)
     s = site.issue_samples(p, site.orphans(p, site.inbound_links(p)), n=2, n_broken=3)
-    return s.select("site", "issue", "rank", "url")
+    return s.select("site", "issue", "rank", "url", "detail")
 
 
 @query
@@ -459,20 +459,24 @@ def ps_scores(spark, sf_dir):
 
 @query
 def ps_metrics(spark, sf_dir):
-    r = reports(spark, sf_dir).select("url", "strategy", pagespeed.lab_metrics(F.col("report"))["lcp"].alias("m"), pagespeed.diagnostics(F.col("report"))["network_requests_count"].alias("requests"))
-    return r.select("url", "strategy", F.col("m.value").alias("value"), F.col("m.unit").alias("unit"), F.col("m.score").alias("score"), F.col("m.rating").alias("rating"), "requests")
+    r = reports(spark, sf_dir).select("url", "strategy", pagespeed.lab_metrics(F.col("report")).alias("lab"), pagespeed.diagnostics(F.col("report")).alias("d"))
+    named = [F.struct(F.lit(n).alias("metric"), F.col(f"{part}.{n}").alias("m")) for part, names in (("lab", pagespeed.METRICS), ("d", pagespeed.DIAGNOSTICS)) for n, _ in names]
+    r = r.select("url", "strategy", F.col("d.network_requests_count").alias("requests"), F.explode(F.array(*named)).alias("x"))
+    return r.select("url", "strategy", "requests", "x.metric", "x.m.value", "x.m.unit", "x.m.display", "x.m.score", "x.m.rating")
 
 
 @query
 def ps_field(spark, sf_dir):
     r = reports(spark, sf_dir).select("url", "strategy", pagespeed.field_data(F.col("report")).alias("f"))
-    return r.select("url", "strategy", F.col("f.lcp.p75").alias("lcp_p75"), F.col("f.lcp.category").alias("category"), F.col("f.overall").alias("overall"))
+    named = [F.struct(F.lit(n).alias("metric"), F.col(f"f.{n}").alias("m")) for n, _ in pagespeed.FIELD]
+    r = r.select("url", "strategy", F.col("f.overall").alias("overall"), F.explode(F.array(*named)).alias("x"))
+    return r.select("url", "strategy", "overall", "x.metric", "x.m.p75", "x.m.category")
 
 
 @query
 def ps_opportunities(spark, sf_dir):
     r = reports(spark, sf_dir).select("url", "strategy", F.posexplode(pagespeed.opportunities(F.col("report"))).alias("pos", "o"))
-    return r.select("url", "strategy", "pos", F.col("o.id").alias("id"), F.col("o.score").alias("score"), F.col("o.savings_ms").alias("savings_ms"), F.col("o.affected_count").alias("affected"), F.col("o.rating").alias("rating"))
+    return r.select("url", "strategy", "pos", F.col("o.id").alias("id"), F.col("o.title").alias("title"), F.col("o.score").alias("score"), F.col("o.savings_ms").alias("savings_ms"), F.col("o.affected_count").alias("affected"), F.col("o.rating").alias("rating"))
 
 
 @query

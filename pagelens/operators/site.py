@@ -59,16 +59,20 @@ def broken() -> Column:
 
 def summary(p: DataFrame) -> DataFrame:
     """Pages, bytes and average citability by site; averages are rounded, 0 where no page is ok."""
+    return p.groupBy("site").agg(*_totals())
+
+
+def _totals() -> list[Column]:
     ok = F.col("ok")
     size = F.when(ok, F.coalesce("size_bytes", F.lit(0)))
-    return p.groupBy("site").agg(
+    return [
         F.count(F.lit(1)).alias("pages_analyzed"),
         F.count_if(ok).alias("pages_ok"),
         F.count_if(~ok).alias("pages_failed"),
         F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_bytes"),
         F.coalesce(half_up(F.avg(size)), F.lit(0)).cast("long").alias("avg_bytes_per_page"),
         F.coalesce(half_up(F.avg(F.when(ok, F.col("score")))), F.lit(0)).cast("long").alias("avg_citability_score"),
-    )
+    ]
 
 
 def status_breakdown(p: DataFrame) -> DataFrame:
@@ -78,25 +82,44 @@ def status_breakdown(p: DataFrame) -> DataFrame:
 
 def issue_counts(p: DataFrame) -> DataFrame:
     """Pages with each issue by site, and image totals, in one pass; duplicates come from duplicates()."""
+    return p.groupBy("site").agg(*_issues(p))
+
+
+def summary_and_issues(p: DataFrame) -> DataFrame:
+    """summary() and issue_counts() in one aggregation."""
+    return p.groupBy("site").agg(*_totals(), *_issues(p))
+
+
+def _issues(p: DataFrame) -> list[Column]:
     counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in issues_of(p).items()]
     total = lambda n: F.coalesce(F.sum(F.when(F.col("ok"), F.col(n))), F.lit(0)).cast("long")
-    return p.groupBy("site").agg(*counts, total("images_without_alt").alias("images_without_alt"), total("images").alias("images_total"))
+    return [*counts, total("images_without_alt").alias("images_without_alt"), total("images").alias("images_total")]
 
 
-def duplicates(p: DataFrame, value: Column) -> DataFrame:
-    """``(site, value, count, urls)`` of values that several ok pages share, their URLs in order.
+def duplicates(p: DataFrame, value: Column, members: int | None = None) -> DataFrame:
+    """``(site, value, count, urls, first_seq)`` of values that several ok pages share, their URLs in order.
 
-    The members are listed, so a value that very many pages share makes a long row; duplicate_counts() has counts alone.
+    All members are listed unless ``members`` bounds the list to the first ones (at least one); ``count`` is exact either
+    way. With a bound no row and no task grows with a value that very many pages share: counts are summed by task, and
+    of members each task sends its first ones.
     """
     rows = p.where(F.col("ok")).select("site", "seq", "url", value.alias("value")).where(filled(F.col("value")))
-    groups = rows.groupBy("site", "value").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("m"))
+    listed = F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("m")
+    if members is None:
+        groups = rows.groupBy("site", "value").agg(F.count(F.lit(1)).alias("count"), listed)
+    else:
+        ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("site", "value").orderBy("seq", "url")))
+        counts = rows.groupBy("site", "value").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+        groups = counts.join(ranked.where(F.col("rank") <= members).groupBy("site", "value").agg(listed), ["site", "value"])
     return groups.where("count > 1").select("site", "value", "count", F.transform("m", lambda x: x["url"]).alias("urls"), F.col("m")[0]["seq"].alias("first_seq"))
 
 
-def duplicate_counts(p: DataFrame, value: Column, name: str) -> DataFrame:
-    """Number of values by site that several ok pages share."""
-    rows = p.where(F.col("ok")).select("site", value.alias("value")).where(filled(F.col("value")))
-    return rows.groupBy("site", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("site").agg(F.count(F.lit(1)).alias(name))
+def duplicate_counts(p: DataFrame, **values: Column) -> DataFrame:
+    """Numbers of values by site that several ok pages share: a column for each name, all in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), v.alias("value")) for n, v in values.items()]))
+    rows = p.where(F.col("ok")).select("site", each.alias("x")).select("site", "x.*").where(filled(F.col("value")))
+    shared = rows.groupBy("site", "kind", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return shared.groupBy("site").agg(*[F.count_if(F.col("kind") == n).alias(n) for n in values])
 
 
 def inbound_links(p: DataFrame) -> DataFrame:

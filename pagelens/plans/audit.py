@@ -24,17 +24,15 @@ def site_report(p: DataFrame) -> DataFrame:
     lost = site.orphans(p, inbound)
     as_map = lambda df, key, value, name: df.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))
     parts = [
-        site.issue_counts(p),
         as_map(site.status_breakdown(p), "status", "pages", "status_breakdown"),
-        site.duplicate_counts(p, F.col("title"), "duplicate_titles"),
-        site.duplicate_counts(p, F.col("description"), "duplicate_metas"),
+        site.duplicate_counts(p, duplicate_titles=F.col("title"), duplicate_metas=F.col("description")),
         inbound.groupBy("site").agg(F.sum("inbound_count").alias("total_internal_links")),
         lost.groupBy("site").agg(F.count(F.lit(1)).alias("orphan_pages_count")),
         site.most_linked(inbound).groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url", "inbound_count"))), lambda x: F.struct(x["url"].alias("url"), x["inbound_count"].alias("inbound_count"))).alias("most_linked_pages")),
         as_map(site.schema_types(p), "type", "pages", "schema_types_found"),
         site.issue_samples(p, lost).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("issue", "rank", "url", "detail"))).alias("samples")),
     ]
-    report = site.summary(p)
+    report = site.summary_and_issues(p)
     for part in parts:
         report = report.join(part, "site", "left")
     zeros = {n: 0 for n in ("duplicate_titles", "duplicate_metas", "total_internal_links", "orphan_pages_count")}
@@ -47,5 +45,5 @@ def crawl_report(pages: DataFrame, sitemaps: DataFrame, as_of: Column, max_urls:
     chosen = discovery.cap(found, max_urls).select("site", "url", F.col("ord").cast("bigint").alias("place"))
     kept = site.dedupe(pages).select("site", "seq", F.col("url").alias("own_url"), F.col("clean_url").alias("url")).join(chosen, ["site", "url"])
     snapshot = pages.join(kept.select("site", F.col("own_url").alias("url"), "seq"), ["site", "url", "seq"], "left_semi")
-    p = site.slim(complete_records(snapshot, as_of)).persist()
+    p = settled(site.slim(complete_records(snapshot, as_of)))  # narrow; every branch reads it
     return discovery.discovery_report(found, max_urls).join(site_report(p), "site", "left").join(llmstxt.render(p).select("site", F.struct("content", "total_pages_categorized", "sections").alias("llms_txt_suggested")), "site", "left")
