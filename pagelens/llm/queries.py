@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, media, mixing, secret_scan, simhash, suffix_dedup, toxicity, url_filters
+from . import chat, decontaminate, fill_middle, language_id, media, mixing, secret_scan, simhash, suffix_dedup, toxicity, url_filters
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +59,13 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.SQL, "op4_mix_sources": mixing.SQL, "op8_chat_format": chat.SQL}
+    return {"op2_url_filters": url_filters.SQL, "op4_mix_sources": mixing.SQL, "op8_chat_format": chat.SQL, "op12_fill_in_middle": fill_middle.SQL}
