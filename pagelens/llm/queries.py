@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fill_middle, language_id, media, mixing, secret_scan, simhash, suffix_dedup, toxicity, url_filters
+from . import chat, decontaminate, fill_middle, language_id, media, mixing, secret_scan, simhash, suffix_dedup, token_align, toxicity, url_filters
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
