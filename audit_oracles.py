@@ -5,11 +5,53 @@ from __future__ import annotations
 import re
 
 import audit_fixture as fixture
-from pagelens.operators import citability, jsonld
 
 WS = r"\t\n\x0B\f\r \x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 S = f"[{WS}]"
-MAX_URLS = 5
+MAX_URLS = 100
+# Fixed values, stated here once more: an error in the library's own tables shows as a difference.
+SCRIPT = r"<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>([\s\S]*?)</script>"
+SPECS = {
+    "Organization": (["name"], ["url", "logo", "sameAs", "contactPoint", "description"], ["sameAs", "logo", "description"]),
+    "LocalBusiness": (["name", "address"], ["telephone", "openingHours", "geo", "priceRange", "image", "url"], ["address", "telephone", "openingHours"]),
+    "WebSite": (["name", "url"], ["potentialAction", "publisher"], ["potentialAction"]),
+    "WebPage": (["name"], ["url", "description", "breadcrumb", "datePublished"], ["description"]),
+    "Article": (["headline", "author", "datePublished"], ["image", "dateModified", "publisher", "mainEntityOfPage", "description"], ["author", "datePublished", "dateModified"]),
+    "BlogPosting": (["headline", "author", "datePublished"], ["image", "dateModified", "publisher", "mainEntityOfPage", "description"], ["author", "datePublished", "dateModified"]),
+    "NewsArticle": (["headline", "author", "datePublished", "image"], ["dateModified", "publisher", "description"], ["author", "datePublished", "publisher"]),
+    "Product": (["name"], ["image", "description", "offers", "aggregateRating", "review", "brand", "sku"], ["description", "offers", "aggregateRating"]),
+    "FAQPage": (["mainEntity"], [], ["mainEntity"]),
+    "Question": (["name", "acceptedAnswer"], ["suggestedAnswer"], ["acceptedAnswer"]),
+    "HowTo": (["name", "step"], ["image", "totalTime", "estimatedCost", "tool", "supply"], ["step", "totalTime"]),
+    "BreadcrumbList": (["itemListElement"], [], ["itemListElement"]),
+    "Person": (["name"], ["jobTitle", "worksFor", "sameAs", "url", "image", "description"], ["jobTitle", "worksFor", "sameAs"]),
+    "Event": (["name", "startDate", "location"], ["endDate", "description", "image", "offers", "performer", "organizer"], ["startDate", "location", "description"]),
+    "Recipe": (["name", "recipeIngredient", "recipeInstructions"], ["image", "author", "datePublished", "cookTime", "prepTime", "recipeYield", "nutrition"], ["recipeIngredient", "recipeInstructions", "cookTime"]),
+    "VideoObject": (["name", "description", "thumbnailUrl", "uploadDate"], ["contentUrl", "embedUrl", "duration"], ["description", "uploadDate", "duration"]),
+    "ImageObject": (["contentUrl"], ["caption", "creator", "license", "width", "height"], ["caption", "creator"]),
+    "Course": (["name", "description", "provider"], ["offers", "aggregateRating", "hasCourseInstance"], ["description", "provider"]),
+    "Review": (["reviewRating", "author"], ["datePublished", "reviewBody", "itemReviewed"], ["author", "reviewRating"]),
+    "AggregateRating": (["ratingValue", "ratingCount"], ["bestRating", "worstRating"], ["ratingValue", "ratingCount"]),
+    "Service": (["name", "provider"], ["description", "areaServed", "serviceType", "offers"], ["description", "areaServed"]),
+    "SoftwareApplication": (["name"], ["applicationCategory", "operatingSystem", "offers", "aggregateRating"], ["applicationCategory", "description"]),
+}
+AEO_WEIGHTS = {"Organization": 10, "WebSite": 8, "Article": 10, "BlogPosting": 9, "NewsArticle": 10, "FAQPage": 10, "HowTo": 9, "Person": 8, "BreadcrumbList": 6, "Product": 8, "Review": 7, "LocalBusiness": 9, "Service": 7, "SoftwareApplication": 8, "Event": 7, "Course": 7, "Recipe": 6, "VideoObject": 6}
+EXPECTED = [
+    (None, ['Organization'], 'Organization', 'high', 'Identifica la entidad. Sin esto, LLMs no pueden verificar que el sitio represente una empresa real.', ['name', 'url', 'logo', 'sameAs', 'description']),
+    (None, ['WebSite'], 'WebSite', 'medium', 'Permite a buscadores y LLMs entender la estructura del sitio. Habilita búsquedas internas vía SearchAction.', ['name', 'url', 'potentialAction']),
+    (None, ['BreadcrumbList'], 'BreadcrumbList', 'medium', 'Da contexto jerárquico de cada página. Útil para entender de qué trata.', ['itemListElement']),
+    ('blog|article|news', ['Article', 'BlogPosting', 'NewsArticle'], 'Article (o BlogPosting / NewsArticle)', 'high', 'Página de blog/artículo sin schema. LLMs no pueden citar autor, fecha o entidad publicadora.', ['headline', 'author', 'datePublished', 'image']),
+    ('product|shop', ['Product'], 'Product', 'high', 'Página de producto sin schema. Pierde rich snippets de precio, rating y disponibilidad.', ['name', 'image', 'description', 'offers', 'aggregateRating']),
+    ('faq|preguntas', ['FAQPage'], 'FAQPage', 'high', 'Página de FAQ sin schema. LLMs no pueden extraer Q&A para responder con citas literales.', ['mainEntity (con Questions)']),
+    ('local|contact|store', ['LocalBusiness'], 'LocalBusiness', 'high', 'Negocio local sin schema. Pierde aparición en mapas, horarios y queries de "cerca de mí".', ['name', 'address', 'telephone', 'openingHours', 'geo']),
+]
+CITABILITY_WEIGHTS = {"freshness": 12, "authorship": 18, "factuality": 14, "structure": 12, "citations": 10, "expertise": 10, "machine_readable": 14, "answer_format": 10}
+LLM_TYPES = ["Organization", "Article", "BlogPosting", "FAQPage", "HowTo", "Person", "Product"]
+AUTHORITIES = (
+    "wikipedia.org .gov .edu github.com arxiv.org nih.gov who.int oecd.org imf.org un.org reuters.com bloomberg.com nytimes.com wsj.com nature.com "
+    "science.org sciencedirect.com mckinsey.com gartner.com forrester.com deloitte.com pwc.com kpmg.com ey.com bcg.com accenture.com statista.com "
+    "forbes.com hbr.org mit.edu stanford.edu google.com/research developers.google.com mozilla.org w3.org rfc-editor.org ietf.org "
+).split()
 
 
 def q(s: str) -> str:
@@ -113,7 +155,7 @@ l2 AS (SELECT site, seq, url, ok, p, substr({trim(decode(strip("body")))}, 1, 10
 l AS (SELECT *, regexp_extract(href, '^(https?://[^/?#]+)', 1) = site AS inside FROM l2)
 """
 BLOCKS = f""",
-b0 AS (SELECT seq, unnest({every("h", jsonld.SCRIPT[4:], 1)}) AS body, generate_subscripts({every("h", jsonld.SCRIPT[4:], 1)}, 1) AS i FROM s WHERE h IS NOT NULL),
+b0 AS (SELECT seq, unnest({every("h", SCRIPT, 1)}) AS body, generate_subscripts({every("h", SCRIPT, 1)}, 1) AS i FROM s WHERE h IS NOT NULL),
 b1 AS (SELECT seq, i, json_valid(body) AS good, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM b0),
 b2 AS (SELECT seq, i, 1 AS n, NULL::JSON AS j, NULL::JSON AS ctx, true AS invalid FROM b1 WHERE NOT good
   UNION ALL SELECT seq, i, 1, j, j->'@context', false FROM b1 WHERE good AND json_type(j) = 'OBJECT' AND j->'@graph' IS NULL
@@ -132,8 +174,8 @@ def _list(xs: list[str]) -> str:
     return "[" + ", ".join(map(q, xs)) + "]::VARCHAR[]"
 
 
-SPEC = ", ".join(f"({q(n)}, {_list(a)}, {_list(b)}, {_list(c)})" for n, (a, b, c) in jsonld.SPECS.items())
-HEAVY = ", ".join(f"({q(n)}, {w})" for n, (w, _) in jsonld.WEIGHTS.items())
+SPEC = ", ".join(f"({q(n)}, {_list(a)}, {_list(b)}, {_list(c)})" for n, (a, b, c) in SPECS.items())
+HEAVY = ", ".join(f"({q(n)}, {w})" for n, w in AEO_WEIGHTS.items())
 #: v: a verdict for each flattened block.
 VERDICTS = f""",
 spec(type, required, recommended, critical) AS (VALUES {SPEC}), heavy(type, weight) AS (VALUES {HEAVY}),
@@ -183,7 +225,7 @@ _C = count("txt", f"seg[uú]n{S}+{NAME}|according{S}+to{S}+{NAME}|fuente:|source
 _LISTS = f"({count('h', '<ul\\b')} + {count('h', '<ol\\b')})"
 _AVG = f"list_avg(list_transform({every('h', '<p\\b[^>]*>[\\s\\S]*?</p>')}, x -> {units(strip('x'))}))"
 _BY = has("txt", f"\\b(?:by|por){S}+{NAME}")
-_FIT = "len(list_filter(types, x -> list_contains({}, x)))".format(_list(citability.LLM_TYPES))
+_FIT = "len(list_filter(types, x -> list_contains({}, x)))".format(_list(LLM_TYPES))
 _SHORT = f"len(list_filter({every('h', '<li\\b[^>]*>[\\s\\S]*?</li>')}, x -> {units(strip('x'))} < 200))"
 DIMENSIONS = {
     "freshness": [
@@ -251,9 +293,9 @@ def _days(p: str, y: int, m: int, d: int) -> str:
     return f"list_transform(list_filter({zipped}, x -> x[2]::INT BETWEEN 1 AND 12 AND x[3]::INT BETWEEN 1 AND 31), x -> make_date(x[1]::INT, x[2]::INT, 1) + (x[3]::INT - 1))"
 
 
-AUTHORITY = "|".join(a.replace(".", r"\.") for a in citability.AUTHORITIES)
+AUTHORITY = "|".join(a.replace(".", r"\.") for a in AUTHORITIES)
 _PARTS = ", ".join(f"least(100, {' + '.join(p[0] for p in ps)}) AS {n}, {' + '.join(p[1] for p in ps)} AS {n}_signals, {' || '.join(p[2] for p in ps)} AS {n}_gaps" for n, ps in DIMENSIONS.items())
-_TOTAL = " + ".join(f"{n} * {float(w)}::DOUBLE / 100" for n, w in citability.WEIGHTS.items())
+_TOTAL = " + ".join(f"{n} * {float(w)}::DOUBLE / 100" for n, w in CITABILITY_WEIGHTS.items())
 _ALT_A, _ALT_B = (every("h", p, 1) for p in ("<link[^>]+rel=[\"']alternate[\"'][^>]+hreflang=[\"']([^\"']+)[\"'][^>]+href=[\"']([^\"']+)[\"']", "<link[^>]+hreflang=[\"']([^\"']+)[\"'][^>]+rel=[\"']alternate[\"'][^>]+href=[\"']([^\"']+)[\"']"))
 _REF_A, _REF_B = (every("h", p, 2) for p in ("<link[^>]+rel=[\"']alternate[\"'][^>]+hreflang=[\"']([^\"']+)[\"'][^>]+href=[\"']([^\"']+)[\"']", "<link[^>]+hreflang=[\"']([^\"']+)[\"'][^>]+rel=[\"']alternate[\"'][^>]+href=[\"']([^\"']+)[\"']"))
 #: c: citability of each page with html.
@@ -272,7 +314,7 @@ c AS (SELECT *, floor({_TOTAL} + 0.5)::INT AS score FROM z)
 #: m: what site reports need of a page.
 SLIM = f""",
 m AS (SELECT site, seq, url, std, final_url, ok, status, redirected, size_bytes, error, CASE WHEN failed THEN NULL ELSE {TRACKING} END AS tracking, CASE WHEN failed THEN NULL ELSE {DEPTH} END AS depth,
-  {TITLE} AS title, {meta("h", "description")} AS description, len({heads("h", 1)}) AS h1, {CANONICAL} AS canonical, {count("h", jsonld.SCRIPT[4:])} AS n_schema,
+  {TITLE} AS title, {meta("h", "description")} AS description, len({heads("h", 1)}) AS h1, {CANONICAL} AS canonical, {count("h", SCRIPT)} AS n_schema,
   len({TAGS}) AS images, len(list_filter({TAGS}, x -> {ALT} = '')) AS bare, {WORDS} AS words, {meta("h", "og:description")} AS og_description FROM s)
 """
 ISSUES = {
@@ -402,7 +444,7 @@ SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY phase, a, b) - 1 AS pos
 
 def _missing() -> str:
     parts = []
-    for rule, (where, either, name, priority, reason, fields) in enumerate(jsonld.EXPECTED):
+    for rule, (where, either, name, priority, reason, fields) in enumerate(EXPECTED):
         here = "" if where is None else f" AND regexp_matches(page_type, {q(where)})"
         parts.append(f"SELECT seq, page_type, {q(name)} AS type, {q(priority)} AS priority, {q('|'.join(fields))} AS fields, {rule} AS rule, {q(reason)} AS reason FROM w9 WHERE NOT list_has_any(seen, {_list(either)}){here}")
     return f"WITH w9 AS (SELECT s.seq, {PAGE_TYPE} AS page_type, coalesce((SELECT list(type) FILTER (type IS NOT NULL) FROM v WHERE v.seq = s.seq), []) AS seen FROM s WHERE h IS NOT NULL) " + " UNION ALL ".join(parts)
@@ -435,7 +477,7 @@ def oracle_sql() -> dict[str, str]:
         "page_word_count": BASE + f"SELECT seq, {WORDS} AS words FROM s",
         "page_visible_text": BASE + f"SELECT seq, {visible('h')} AS visible FROM s",
         "page_record": BASE + LINKS + f"""SELECT s.seq, {PAGE_TYPE} AS page_type, {TITLE} AS title, coalesce({units(meta("h", "description"))}, 0) AS description_length, len({heads("h", 1)}) AS h1_count, {CANONICAL} AS canonical, len({TAGS}) AS images,
-          (SELECT count(*) FROM l WHERE l.seq = s.seq AND inside) AS internal, (SELECT count(*) FROM l WHERE l.seq = s.seq AND NOT inside) AS external, {WORDS} AS words, {count("h", jsonld.SCRIPT[4:])} AS blocks FROM s WHERE h IS NOT NULL""",
+          (SELECT count(*) FROM l WHERE l.seq = s.seq AND inside) AS internal, (SELECT count(*) FROM l WHERE l.seq = s.seq AND NOT inside) AS external, {WORDS} AS words, {count("h", SCRIPT)} AS blocks FROM s WHERE h IS NOT NULL""",
         "page_links": BASE + LINKS + """SELECT s.seq, CASE WHEN h IS NOT NULL THEN count(l.p) FILTER (inside) END AS internal, CASE WHEN h IS NOT NULL THEN count(l.p) FILTER (NOT inside) END AS external,
           CASE WHEN h IS NOT NULL THEN coalesce(string_agg(href, '|' ORDER BY p) FILTER (inside), '') END AS hrefs, CASE WHEN h IS NOT NULL THEN coalesce(string_agg(anchor, '|' ORDER BY p) FILTER (NOT inside), '') END AS anchors FROM s LEFT JOIN l ON l.seq = s.seq GROUP BY s.seq, h""",
         "link_edges": BASE + LINKS + "SELECT site, seq, url AS src_url, row_number() OVER (PARTITION BY seq ORDER BY inside DESC, p) - 1 AS pos, href, anchor, CASE WHEN inside THEN 'internal' ELSE 'external' END AS kind FROM l",
@@ -500,7 +542,7 @@ def oracle_sql() -> dict[str, str]:
     each = " UNION ALL ".join(f"SELECT site, {q(n)} AS issue, seq, url, {details.get(n, q(''))} AS detail FROM m WHERE {ISSUES[n]}" for n in sampled)
     first_gap = "list_sort(" + " || ".join(f"list_transform({n}_gaps, (x, k) -> (CASE x[1] WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, {i}, k, x[2]))" for i, n in enumerate(DIMENSIONS)) + ")[1][4]"
     out["issue_samples"] = BASE + CITED + SLIM + INBOUND + f"""SELECT site, issue, row_number() OVER (PARTITION BY site, issue ORDER BY seq, url) AS rank, url, detail FROM ({each}
-      UNION ALL SELECT site, 'low_citability_pages', seq, url, concat_ws(': ', score, {first_gap}) FROM c WHERE ok AND score < 40 UNION ALL SELECT site, 'orphan_pages', seq, url, '' FROM o) QUALIFY rank <= CASE issue WHEN 'broken_internal_links' THEN 3 ELSE 2 END"""
+      UNION ALL SELECT site, 'low_citability_pages', seq, url, concat_ws(': ', score, {first_gap}) FROM c WHERE ok AND score < 40 UNION ALL SELECT site, 'orphan_pages', seq, url, '' FROM o) QUALIFY rank <= CASE issue WHEN 'broken_internal_links' THEN 10 ELSE 5 END"""
     out["site_report"] = BASE + CITED + SLIM + INBOUND + """
       SELECT m.site, count(*) AS pages_analyzed, count(*) FILTER (m.ok) AS pages_ok, coalesce(sum(size_bytes) FILTER (m.ok), 0)::BIGINT AS total_bytes, coalesce(floor(avg(score) FILTER (m.ok) + 0.5), 0)::BIGINT AS avg_citability_score,
         count(*) FILTER (m.ok AND coalesce(title, '') = '') AS missing_title, count(*) FILTER (m.ok AND length(title) > 60) AS title_too_long, count(*) FILTER (m.ok AND n_schema = 0) AS missing_schema, coalesce(sum(bare) FILTER (m.ok), 0)::BIGINT AS images_without_alt,
@@ -511,7 +553,7 @@ def oracle_sql() -> dict[str, str]:
 d0 AS (SELECT DISTINCT s.site, CASE WHEN (SELECT count(*) FROM x WHERE x.site = s.site) >= 3 THEN 'sitemap' WHEN (SELECT count(*) FROM locs WHERE locs.site = s.site AND locs.url = s.site || '/sitemap_index.xml') >= 3 THEN 'sitemap_index' ELSE 'crawl' END AS source FROM s)"""
     out |= {
         "sitemap_urls": f"WITH {MAPS} SELECT site, url, is_index, pos, loc FROM locs",
-        "sitemap_expand": BASE + _grown(2) + " SELECT site, a::VARCHAR || coalesce('.' || b::VARCHAR, '') AS place, loc FROM x",
+        "sitemap_expand": BASE + _grown(MAX_URLS) + " SELECT site, a::VARCHAR || coalesce('.' || b::VARCHAR, '') AS place, loc FROM x",
         "bfs_crawl": BASE + CRAWL + "SELECT site, url FROM f3",
     }
     listed = chosen + """, d1 AS (

@@ -14,7 +14,6 @@ from pagelens.operators import citability, discovery, jsonld, llmstxt, page, pag
 from pagelens.plans import audit
 
 Query = Callable[[SparkSession, str], DataFrame]
-MAX_URLS = 5  # of sitemap_source, as in its SQL
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,7 +367,7 @@ def schema_types_found(spark, sf_dir):
 @query
 def issue_samples(spark, sf_dir):
     p = slim(spark, sf_dir)
-    s = site.issue_samples(p, site.orphans(p, site.inbound_links(p)), n=2, n_broken=3)
+    s = site.issue_samples(p, site.orphans(p, site.inbound_links(p)))
     return s.select("site", "issue", "rank", "url", "detail")
 
 
@@ -398,7 +397,7 @@ def sitemap_urls(spark, sf_dir):
 
 @query
 def sitemap_expand(spark, sf_dir):
-    e = discovery.expand(sitemaps(spark, sf_dir), "sitemap.xml", 2)
+    e = discovery.expand(sitemaps(spark, sf_dir), "sitemap.xml")
     return e.select("site", F.array_join(F.transform("ord", lambda x: x.cast("string")), ".").alias("place"), "loc")
 
 
@@ -413,7 +412,7 @@ def discovery_source(spark, sf_dir):
 
 @query
 def sitemap_source(spark, sf_dir):
-    found = _sources(spark, sf_dir, MAX_URLS)
+    found = _sources(spark, sf_dir, discovery.MAX_URLS)
     return found.select("site", "source", F.when(F.col("source") != "crawl", F.col("n")).alias("n"))
 
 

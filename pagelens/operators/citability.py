@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tags
 from ..functions.text import END, START, WS, closed, count, every, half_up, let, strip_tags, units
 from . import page
 
-S = f"[{WS}]"
+S, Q = f"[{WS}]", tags.Q
 # Weights, and strings that mark a link to a source of authority.
 WEIGHTS = {"freshness": 12, "authorship": 18, "factuality": 14, "structure": 12, "citations": 10, "expertise": 10, "machine_readable": 14, "answer_format": 10}
 AUTHORITIES = [
@@ -107,9 +108,9 @@ def authorship(html: Column, text: Column, types: Column) -> Column:
     d.add((person, 35, "Schema Person presente", None))
     d.add((_any(types, ARTICLES), 20, "Schema Article con autor estructurado", None))
     d.add(
-        (html.rlike("(?i)<[^>]+(?:class|id)=[\"'][^\"']*(?:author|byline|writer)[^\"']*[\"']"), 20, "Sección de autor con marcas semánticas", None),
+        (tags.has(html, "<", rf"[^>]+(?:class|id)={Q}[^\"']*(?:author|byline|writer)[^\"']*{Q}"), 20, "Sección de autor con marcas semánticas", None),
         (byline, 12, "Byline visible en el contenido", None),
-        (html.rlike("(?i)<a[^>]+rel=[\"']author[\"']"), 10, None, None),
+        (tags.has(html, "<a", f"[^>]+rel={Q}author{Q}"), 10, None, None),
         (None, 0, None, ("high", "No se detecta autor en el contenido", "Añadir autor visible (byline) + schema Person con jobTitle, sameAs y bio.")),
     )
     d.add((text.rlike(rf"(?iu)about{S}+the{S}+author|sobre{S}+el{S}+autor|biograf[íi]a"), 15, "Bio del autor detectada", None), (byline | person, 0, None, ("medium", "Hay autor pero falta bio visible", "Añadir bio breve del autor con experiencia/credenciales.")))
@@ -141,7 +142,7 @@ def structure(html: Column, heads: Column) -> Column:
     d.add_for(n, lambda n: [(n >= 3, 20, _said(n, " listas (UL/OL) — formato escaneable"), None), (n >= 1, 12, _said(n, " listas"), None), (None, 0, None, ("medium", "Sin listas en el contenido", "Los LLMs extraen mejor información de listas. Convertir párrafos enumerativos en listas."))])
     tables = count(html, f"(?i)<table{END}")
     d.add_for(tables, lambda n: [(n >= 1, 15, _said(n, " tablas (excelente para datos comparativos)"), None)])
-    paragraphs = every(closed(html, "p"), rf"(?i)<p{END}[^>]*>[\s\S]*?</p>")
+    paragraphs = tags.matches(closed(html, "p"), f"<p{END}", r"[^>]*>[\s\S]*?</p>")
     average = F.aggregate(paragraphs, F.lit(0).cast("long"), lambda a, p: a + units(strip_tags(p))) / F.nullif(F.size(paragraphs), F.lit(0))
     d.add_for(average, lambda x: [(x < 300, 10, "Párrafos cortos (escaneables)", None), (x > 600, 0, None, ("low", "Párrafos muy largos (>600 caracteres promedio)", "Dividir párrafos largos para mejorar escaneabilidad."))])
     return d.column()
@@ -159,7 +160,7 @@ def citations(html: Column, external: Column) -> Column:
         (n >= 1, 10, None, None),
         (None, 0, None, none),
     ])
-    d.add((html.rlike("(?i)<a[^>]+rel=[\"'][^\"']*nofollow"), 10, 'Uso de rel="nofollow" en enlaces (señal de cuidado editorial)', None))
+    d.add((tags.has(html, "<a", rf"[^>]+rel={Q}[^\"']*nofollow"), 10, 'Uso de rel="nofollow" en enlaces (señal de cuidado editorial)', None))
     d.add((html.rlike(rf"(?iu)<sup{END}[^>]*>{S}*\[?\d+\]?{S}*</sup>|references|referencias|bibliograf[íi]a"), 30, "Sistema de citas/referencias detectado", None))
     return d.column()
 
@@ -194,10 +195,10 @@ def answer_format(html: Column, types: Column) -> Column:
     d = Dimension("answer_format")
     d.add((_any(types, ["FAQPage"]), 50, "Schema FAQPage presente (excelente para LLMs)", None), (None, 0, None, ("medium", "Sin schema FAQPage", "Si tienes preguntas frecuentes, añadir schema FAQPage. Los LLMs extraen Q&A literalmente.")))
     d.add((_any(types, ["HowTo"]), 25, "Schema HowTo presente", None))
-    d.add((html.rlike(r"(?i)<h[2-4][^>]*>[^<]*\?[^<]*</h[2-4]>"), 20, "Headings con formato pregunta", None))
+    d.add((F.exists(tags.matches(html, "<h[2-4]", "[^>]*>([^<]*+)</h[2-4]>", 1), lambda x: x.contains("?")), 20, "Headings con formato pregunta", None))
     d.add((closed(html, "dl").rlike(rf"(?i)<dl{END}[\s\S]*?</dl>"), 15, "Listas de definición (<dl>) — formato perfecto para LLMs", None))
     d.add((html.rlike(f"(?i)<blockquote{END}"), 10, "Blockquotes presentes", None))
-    short = F.size(F.filter(every(closed(html, "li"), rf"(?i)<li{END}[^>]*>[\s\S]*?</li>"), lambda x: units(strip_tags(x)) < 200))
+    short = F.size(F.filter(tags.matches(closed(html, "li"), f"<li{END}", r"[^>]*>[\s\S]*?</li>"), lambda x: units(strip_tags(x)) < 200))
     d.add_for(short, lambda n: [(n >= 5, 10, _said(n, " bullets con respuestas concisas"), None)])
     return d.column()
 

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import tags
 from ..functions.lineage import settled
-from ..functions.text import WS, every
+from ..functions.text import every, let, trim
 from ..functions.urls import is_asset, normalize, origin, resolve_all, strip_hash
 
-LOC = f"(?i)<loc>[{WS}]*([^<]+?)[{WS}]*</loc>"
-CRAWL_LINK = "(?i)<a[^>]+href=[\"']([^\"']+)[\"']"
+LOC = "(?i)<loc>([^<]++)</loc>"
+CRAWL_LINK = rf"[^>]+href={tags.Q}([^\"']+){tags.Q}"
 CHILDREN, INDEX_DEPTH, CRAWL_DEPTH, ENOUGH, MAX_URLS = 10, 2, 2, 3, 100
 
 
+def _location(inside: Column) -> Column:
+    """Text of a location without white space around it; of nothing but white space the last character."""
+    return let(trim(inside), lambda t: F.when(t == "", F.right(inside, F.lit(1))).otherwise(t))
+
+
 def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
     """``(site, url, is_index, pos, loc)``: the locations that each document of ``sitemaps(site, url, xml)`` lists."""
-    return sitemaps.select("site", "url", F.col("xml").rlike("(?i)<sitemap>").alias("is_index"), F.posexplode(every(F.col("xml"), LOC, 1)).alias("pos", "loc"))
+    return sitemaps.select("site", "url", F.col("xml").rlike("(?i)<sitemap>").alias("is_index"), F.posexplode(F.transform(every(F.col("xml"), LOC, 1), _location)).alias("pos", "loc"))
 
 
 def expand(sitemaps: DataFrame, name: str, max_urls: int = MAX_URLS) -> DataFrame:
@@ -58,7 +64,7 @@ def crawl(pages: DataFrame, max_urls: int = MAX_URLS) -> DataFrame:
     of finding. Each round joins the new URLs with the links of their pages and leaves out those known; a running sum
     over the order of finding tells which pages were still read.
     """
-    base = pages.select("site", "url", F.when(F.coalesce("html", F.lit("")) != "", every(F.col("html"), CRAWL_LINK, 1)).alias("hrefs")).dropDuplicates(["site", "url"])
+    base = pages.select("site", "url", F.when(F.coalesce("html", F.lit("")) != "", tags.matches(F.col("html"), "<a", CRAWL_LINK, 1)).alias("hrefs")).dropDuplicates(["site", "url"])
     links = base.select("site", "url", F.posexplode(resolve_all("url", "hrefs")).alias("pos", "href")).where("href is not null")
     links = links.select("site", F.col("url").alias("src"), "pos", strip_hash(F.col("href")).alias("href"), origin(F.col("href")).alias("o")).where((F.col("o") == F.col("site")) & ~is_asset(F.col("href"))).drop("o")
     links = settled(links)  # narrow; html isn't parsed again

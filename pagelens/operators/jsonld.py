@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import closed, every, half_up, let, no_strings
+from ..functions import tags
+from ..functions.text import closed, half_up, let, no_strings
 
-SCRIPT = r"(?i)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>([\s\S]*?)</script>"
+SCRIPT = rf"[^>]+type={tags.Q}application/ld\+json{tags.Q}[^>]*>([\s\S]*?)</script>"
 
 # Required, recommended and answer-critical fields of each type.
 SPECS = {
@@ -191,7 +192,7 @@ def parse_blocks(scripts: pd.Series) -> pd.DataFrame:
 
 
 def scripts(html: Column) -> Column:
-    return every(closed(html, "script"), SCRIPT, 1)
+    return tags.bodies(closed(html, "script"), "<script", SCRIPT)
 
 
 def has_flags(types: Column) -> list[Column]:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
-from ..functions.text import WS, closed, count, decode, every, filled, first, let, strip_tags, trim, units, without_elements
-
-TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title>"
-IMAGE = r"(?i)<img[^>]*>"
-LINK = r"(?i)<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>([\s\S]*?)</a>"
-CANONICAL = [r"(?i)<link[^>]+rel=[\"']canonical[\"'][^>]*href=[\"']([^\"']+)[\"']", r"(?i)<link[^>]+href=[\"']([^\"']+)[\"'][^>]*rel=[\"']canonical[\"']"]
-HREFLANG = [
-    r"(?i)<link[^>]+rel=[\"']alternate[\"'][^>]+hreflang=[\"']([^\"']+)[\"'][^>]+href=[\"']([^\"']+)[\"']",
-    r"(?i)<link[^>]+hreflang=[\"']([^\"']+)[\"'][^>]+rel=[\"']alternate[\"'][^>]+href=[\"']([^\"']+)[\"']",
+from ..functions import tags, urls
+from ..functions.text import WS, closed, count, decode, filled, first, let, strip_tags, trim, units, without_elements
+
+Q = tags.Q
+#: What follows the openers of elements, see tags.matches().
+BODY = {name: rf"[^>]*>([\s\S]*?)</{name}>" for name in ("title", *(f"h{i}" for i in range(1, 7)))}
+LINK = rf"[^>]+href={Q}([^\"']+){Q}[^>]*>([\s\S]*?)</a>"
+HREFLANG = [  # a tag without the attribute isn't searched for the others
+    rf"(?=[^>]+hreflang=)[^>]+rel={Q}alternate{Q}[^>]+hreflang={Q}([^\"']+){Q}[^>]+href={Q}([^\"']+){Q}",
+    rf"(?=[^>]+rel={Q}alternate{Q})[^>]+hreflang={Q}([^\"']+){Q}[^>]+rel={Q}alternate{Q}[^>]+href={Q}([^\"']+){Q}",
 ]
 ELEMENTS = {name: rf"(?i)<{name}[\s\S]*?</{name}>" for name in ("script", "style", "noscript")}
 SKIPPED = ("#", "mailto:", "tel:", "javascript:")
@@ -22,7 +22,7 @@ SKIPPED = ("#", "mailto:", "tel:", "javascript:")
 
 def title(html: Column) -> Column:
     """``{value,length,ok}``; ok from 30 to 60 units; null without the tag, empty for an empty one."""
-    return measured(trim(decode(first(closed(html, "title"), TITLE))), 30, 60)
+    return measured(trim(decode(tags.first_body(closed(html, "title"), "<title", BODY["title"]))), 30, 60)
 
 
 def measured(value: Column, least: int, most: int) -> Column:
@@ -35,36 +35,41 @@ def measured(value: Column, least: int, most: int) -> Column:
     return let(value, record)
 
 
-def meta(html: Column, name: str) -> Column:
-    """Content of the meta tag of that name or property, either order of attributes; null without one."""
-    key = f"(?:name|property)=[\"']{name}[\"']"
-    return trim(decode(F.coalesce(first(html, f"(?i)<meta[^>]+{key}[^>]*content=[\"']([^\"']*)[\"']"), first(html, f"(?i)<meta[^>]+content=[\"']([^\"']*)[\"'][^>]*{key}"))))
+def meta_tags(html: Column) -> Column:
+    """The page's meta tags, which meta() reads."""
+    return tags.stretches(html, "<meta")
 
 
-def description(html: Column) -> Column:
-    return measured(meta(html, "description"), 120, 160)
+def meta(found: Column, name: str) -> Column:
+    """Content of the first of meta_tags() of that name or property, name first or else content first; null without one."""
+    return trim(decode(tags.value_beside(found, "content", f"(?:name|property)={Q}{name}{Q}")))
+
+
+def description(found: Column) -> Column:
+    return measured(meta(found, "description"), 120, 160)
 
 
 def headings(html: Column) -> Column:
     """Texts of h1 to h6, empty ones dropped, and counts; ok with a single h1."""
-    found = {f"h{i}": F.filter(F.transform(every(closed(html, f"h{i}"), rf"(?i)<h{i}[^>]*>([\s\S]*?)</h{i}>", 1), lambda x: trim(decode(strip_tags(x)))), lambda x: x != "") for i in range(1, 7)}
+    found = {f"h{i}": F.filter(F.transform(tags.matches(closed(html, f"h{i}"), f"<h{i}", BODY[f"h{i}"], 1), lambda x: trim(decode(strip_tags(x)))), lambda x: x != "") for i in range(1, 7)}
     counted = lambda h: F.struct(*[h[n].alias(n) for n in found], *[F.size(h[f"h{i}"]).alias(f"h{i}_count") for i in (1, 2, 3)], (F.size(h["h1"]) == 1).alias("ok"))
     return let(F.struct(*[c.alias(n) for n, c in found.items()]), counted)
 
 
 def canonical(html: Column) -> Column:
-    return let(F.coalesce(*[first(html, p) for p in CANONICAL]), lambda v: F.struct(v.alias("value"), v.isNotNull().alias("ok")))
+    found = let(tags.stretches(html, "<link"), lambda x: tags.value_beside(x, "href", f"rel={Q}canonical{Q}", 1))
+    return let(found, lambda v: F.struct(v.alias("value"), v.isNotNull().alias("ok")))
 
 
 def hreflang(html: Column) -> Column:
     """``{values,count}``: alternates with rel first, then those with hreflang first."""
-    pairs = [F.zip_with(every(html, p, 1), every(html, p, 2), lambda a, b: F.struct(a.alias("lang"), b.alias("href"))) for p in HREFLANG]
+    pairs = [tags.pairs(html, "<link", p, ("lang", "href")) for p in HREFLANG]
     return let(F.concat(*pairs), lambda v: F.struct(v.alias("values"), F.size(v).alias("count")))
 
 
-def open_graph(html: Column) -> Column:
+def open_graph(found: Column) -> Column:
     names = ("title", "description", "image", "type", "url")
-    return let(F.struct(*[meta(html, f"og:{n}").alias(n) for n in names]), lambda p: F.struct(*[p[n].alias(n) for n in names], (filled(p["title"]) & filled(p["description"])).alias("ok")))
+    return let(F.struct(*[meta(found, f"og:{n}").alias(n) for n in names]), lambda p: F.struct(*[p[n].alias(n) for n in names], (filled(p["title"]) & filled(p["description"])).alias("ok")))
 
 
 def image_tags(html: Column) -> Column:
@@ -74,7 +79,7 @@ def image_tags(html: Column) -> Column:
         alt = first(tag, f"(?i)[{WS}]alt=[\"']([^\"']*)[\"']")
         return F.struct((trim(F.coalesce(alt, F.lit(""))) == "").alias("no_alt"), first(tag, f"(?i)[{WS}]src=[\"']([^\"']+)[\"']").alias("src"))
 
-    return F.transform(every(html, IMAGE), one)
+    return F.transform(tags.matches(html, "<img", "[^>]*>"), one)
 
 
 def image_facts(html: Column) -> Column:
@@ -95,7 +100,8 @@ def images(facts: Column, url: Column) -> Column:
 
 def raw_links(html: Column) -> Column:
     """``array<struct<href,anchor>>`` of links as written, without fragments of this page and non-web schemes."""
-    pairs = lambda head: F.zip_with(every(head, LINK, 1), every(head, LINK, 2), lambda h, t: F.struct(trim(h).alias("href"), F.substring(trim(decode(strip_tags(t))), 1, 100).alias("anchor")))
+    text = lambda t: F.substring(trim(decode(strip_tags(t))), 1, 100)
+    pairs = lambda head: F.transform(tags.pairs(head, "<a", LINK, ("href", "inner")), lambda p: F.struct(trim(p["href"]).alias("href"), text(p["inner"]).alias("anchor")))
     keep = lambda p: (p["href"] != "") & ~p["href"].rlike("^(?:" + "|".join(SKIPPED) + ")")
     return F.filter(let(closed(html, "a"), pairs), keep)
 
@@ -128,12 +134,13 @@ def visible_text(html: Column) -> Column:
     return trim(F.regexp_replace(F.replace(strip_tags(html, " "), F.lit("&nbsp;"), F.lit(" ")), f"[{WS}]+", " "))
 
 
-def technical(html: Column) -> Column:
+def technical(html: Column, found: Column) -> Column:
+    """Viewport, charset, language and robots of a page whose meta_tags() are ``found``."""
     return F.struct(
-        html.rlike("(?i)<meta[^>]+name=[\"']viewport[\"']").alias("has_viewport"),
-        html.rlike("(?i)<meta[^>]+charset=").alias("has_charset"),
-        first(html, "(?i)<html[^>]+lang=[\"']([^\"']+)[\"']").alias("lang"),
-        meta(html, "robots").alias("robots_meta"),
+        tags.marked(found, f"name={Q}viewport{Q}").alias("has_viewport"),
+        tags.marked(found, "charset=").alias("has_charset"),
+        tags.value(tags.stretches(html, "<html"), "lang", 1).alias("lang"),
+        meta(found, "robots").alias("robots_meta"),
     )
 
 
@@ -172,21 +179,22 @@ def page_records(snapshot: DataFrame) -> DataFrame:
     """
     html, url = F.col("html"), F.col("url")
     there = F.coalesce(html, F.lit("")) != ""
-    raw = snapshot.withColumns({"raw": F.when(there, raw_links(html)), "image_facts": F.when(there, image_facts(html))})
+    raw = snapshot.withColumns({"raw": F.when(there, raw_links(html)), "image_facts": F.when(there, image_facts(html)), "meta_list": F.when(there, meta_tags(html))})
+    found = F.col("meta_list")
     linked = raw.withColumn("link_list", links(F.col("raw"), url))
     signal = {
         "title": title(html),
-        "meta": description(html),
+        "meta": description(found),
         "headings": headings(html),
         "canonical": canonical(html),
         "hreflang": hreflang(html),
-        "open_graph": open_graph(html),
-        "twitter_card": meta(html, "twitter:card"),
+        "open_graph": open_graph(found),
+        "twitter_card": meta(found, "twitter:card"),
         "images": images(F.col("image_facts"), url),
         "links": split_links(F.col("link_list"), F.col("own_origin")),
         "word_count": word_count(html),
         "html_length": units(html),
-        "technical": technical(html),
+        "technical": technical(html, found),
     }
     keep = [c for c in snapshot.columns if c not in ("html", "own_origin")]
     return linked.select(*keep, urls.page_type(url).alias("page_type"), *[F.when(there, c).alias(n) for n, c in signal.items()], "html")

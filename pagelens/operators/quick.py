@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import tags, urls
 from ..functions.text import WS, closed, every, filled, first, let, strip_tags, trim, units
-from .page import measured
+from .page import BODY, Q, measured
 
 
 def _text(s: Column) -> Column:
@@ -22,26 +22,26 @@ def _meta(html: Column, key: str, name: str) -> Column:
 def quick_html(html: Column, url: Column) -> Column:
     """The lenient record of a page, but for links and structured data; null without html."""
     found = {
-        "title": trim(first(html, "(?i)<title[^>]*>([^<]*)</title>")),
+        "title": trim(tags.first_body(html, "<title", "[^>]*>([^<]*)</title>")),
         "description": trim(_meta(html, "name", "description")),
         "canonical": trim(first(html, f"(?i)<link[{WS}]+rel=[\"']canonical[\"'][{WS}]+href=[\"']([^\"']*)[\"']")),
-        **{f"h{i}": F.filter(F.transform(every(closed(html, f"h{i}"), rf"(?i)<h{i}[^>]*>([\s\S]*?)</h{i}>", 1), lambda x: trim(_text(x))), lambda x: x != "") for i in (1, 2, 3)},
-        "langs": every(html, "(?i)<link[^>]+hreflang=[\"']([^\"']+)[\"'][^>]*>", 1),
+        **{f"h{i}": F.filter(F.transform(tags.matches(closed(html, f"h{i}"), f"<h{i}", BODY[f"h{i}"], 1), lambda x: trim(_text(x))), lambda x: x != "") for i in (1, 2, 3)},
+        "langs": tags.matches(html, "<link", rf"[^>]+hreflang={Q}([^\"']+){Q}[^>]*>", 1),
         **{f"og_{n}": F.nullif(_meta(html, "property", f"og:{n}"), F.lit("")) for n in ("title", "description", "image", "type")},
         "card": F.nullif(_meta(html, "name", "twitter:card"), F.lit("")),
-        "tags": every(html, f"(?i)<img[{WS}][^>]*>"),
+        "images": tags.matches(html, f"<img[{WS}]", "[^>]*>"),
     }
     technical = F.struct(
         url.startswith("https://").alias("https"),
         html.rlike(f"(?i)<meta[{WS}]+name=[\"']viewport[\"']").alias("has_viewport"),
         html.rlike(f"(?i)<meta[{WS}]+charset=").alias("has_charset"),
-        first(html, "(?i)<html[^>]+lang=[\"']([^\"']+)[\"']").alias("lang"),
+        tags.value(tags.stretches(html, "<html"), "lang", 1).alias("lang"),
         _meta(html, "name", "robots").alias("robots_meta"),
     )
 
     def record(f: Column) -> Column:
         heads, og = {f"h{i}": f[f"h{i}"] for i in (1, 2, 3)}, {n: f[f"og_{n}"] for n in ("title", "description", "image", "type")}
-        total, bare = F.size(f["tags"]), F.size(F.filter(f["tags"], lambda t: ~t.rlike(f"(?i)[{WS}]alt[{WS}]*=")))
+        total, bare = F.size(f["images"]), F.size(F.filter(f["images"], lambda t: ~t.rlike(f"(?i)[{WS}]alt[{WS}]*=")))
         return F.struct(
             measured(f["title"], 10, 70).alias("title"),
             measured(f["description"], 50, 165).alias("meta_description"),
@@ -60,7 +60,7 @@ def quick_html(html: Column, url: Column) -> Column:
 
 def quick_links(html: Column, url: Column, home: Column) -> Column:
     """Numbers of internal and external links; all zero where ``home``, the origin of the page's URL, is null."""
-    hrefs = F.filter(every(html, f"(?i)<a[{WS}][^>]*href=[\"']([^\"']+)[\"']", 1), lambda h: ~h.rlike("^(?:#|mailto:|tel:|javascript:)"))
+    hrefs = F.filter(tags.matches(html, f"<a[{WS}]", rf"[^>]*href={Q}([^\"']+){Q}", 1), lambda h: ~h.rlike("^(?:#|mailto:|tel:|javascript:)"))
     there = F.filter(urls.resolve_all(url, hrefs), lambda h: h.isNotNull())
     internal = F.when(home.isNull(), 0).otherwise(F.size(F.filter(there, lambda h: urls.origin(h) == home)))
     total = F.when(home.isNull(), 0).otherwise(F.size(there))

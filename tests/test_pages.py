@@ -26,9 +26,9 @@ def test_titles(spark):
 
 @pytest.mark.parametrize("n,ok", [(119, False), (120, True), (160, True), (161, False)])
 def test_description(spark, n, ok):
-    d = one(spark, page.description(F.col("html")), f"<meta content='{'d' * n}' name='description'>")
+    d = one(spark, page.description(page.meta_tags(F.col("html"))), f"<meta content='{'d' * n}' name='description'>")
     assert (d["length"], d["ok"]) == (n, ok)
-    assert one(spark, page.meta(F.col("html"), "description"), '<meta name="description" content="it\'s">') == "it"
+    assert one(spark, page.meta(page.meta_tags(F.col("html")), "description"), '<meta name="description" content="it\'s">') == "it"
 
 
 def test_images(spark):
