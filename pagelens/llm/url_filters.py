@@ -22,15 +22,29 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
-def url_keys(url: Column) -> Column:
-    """All list keys that cover a URL, ``array<struct<kind,key>>``: its host, the domains of two labels or more that it
-    lies in, and host with each directory of the path, down to the whole path."""
+def url_keys(url: Column, labels: list[int], depths: list[int]) -> Column:
+    """All keys that cover a URL and that a list can have, ``array<struct<kind,key>>``: its host, the domains of two labels
+    or more that it lies in (a host of one label is its own), host with each directory of the path, and the whole path.
+
+    ``labels`` and ``depths`` are the numbers of labels and of slashes that the list's patterns have, see sizes(). Only
+    such keys are made, so a URL of very many directories costs what the list asks for, not the square of its length.
+    """
     host, path = host_of(url), path_of(url)
-    labels, dirs = F.split(host, r"\."), F.split(path, "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.struct(F.lit(DOMAIN).alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(dirs) - 1, F.lit(1))), lambda i: F.struct(F.lit(PREFIX).alias("kind"), F.concat(host, F.array_join(F.slice(dirs, F.lit(1), i), "/"), F.lit("/")).alias("key")))
-    own = F.array(F.struct(F.lit(HOST).alias("kind"), host.alias("key")), F.struct(F.lit(PREFIX).alias("kind"), F.concat(host, path).alias("key")))
-    return F.when(host != "", F.array_distinct(F.concat(own, suffixes, prefixes)))
+    n_labels, n_slashes = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1, F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    some = lambda sizes, fits: F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), fits)
+    suffixes = F.transform(some(labels, lambda i: (i <= n_labels) & ((i > 1) | (n_labels == 1))), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
+    prefixes = F.transform(some(depths, lambda i: i <= n_slashes), lambda i: F.concat(host, F.call_function("substring_index", path, F.lit("/"), i), F.lit("/")))
+    named = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    every = F.concat(named(HOST, F.array(host)), named(DOMAIN, suffixes), named(PREFIX, F.array_distinct(F.concat(F.array(F.concat(host, path)), prefixes))))
+    return F.when(host != "", every)
+
+
+def sizes(entries: DataFrame) -> tuple[list[int], list[int]]:
+    """Numbers of labels that domain patterns have, and of slashes that prefix patterns have: few, as k of them need patterns of k^2 / 2 characters."""
+    parts = lambda mark: F.length("pattern") - F.length(F.replace(F.col("pattern"), F.lit(mark), F.lit("")))
+    size = F.when(F.col("kind") == DOMAIN, parts(".") + 1).otherwise(parts("/"))
+    rows = entries.where(F.col("kind").isin(DOMAIN, PREFIX) & F.col("pattern").isNotNull()).select("kind", size.alias("n")).distinct().collect()
+    return tuple(sorted(r["n"] for r in rows if r["kind"] == kind and r["n"] > 0) for kind in (DOMAIN, PREFIX))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -53,7 +67,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", f
     entry that did (of equal length the greatest). An interval counts from its first instant up to, not including, its
     end. A capture with a null URL or time, or a URL without a host, is not blocked.
 
-    Each distinct (URL, time) is judged once: its keys, as many as the URL has labels and directories, meet the
+    Each distinct (URL, time) is judged once: its keys, of the sizes that the list's patterns have, meet the
     intervals by equi-join with the time as a further condition, so only active entries come out. A key of very many
     captures is one that AQE splits. Repeated rows repeat; empty tables give no rows or nothing blocked. A column
     ``url_filter`` of ``captures`` is replaced.
@@ -61,7 +75,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", f
     captures = without(captures, "url_filter")
     u, t = F.col(url), F.col(fetched)
     seen = captures.select(u.alias("u"), t.alias("t")).dropna().distinct()
-    keys = seen.select("u", "t", F.explode(url_keys(F.col("u"))).alias("k")).select("u", "t", F.col("k.kind").alias("kind"), F.col("k.key").alias("pattern"))
+    keys = seen.select("u", "t", F.explode(url_keys(F.col("u"), *sizes(entries))).alias("k")).select("u", "t", F.col("k.kind").alias("kind"), F.col("k.key").alias("pattern"))
     live = keys.join(validity(entries), ["kind", "pattern"]).where((F.col("t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to"))))
     best = F.max(F.struct(F.length("pattern"), "pattern", "kind"))
     hits = live.groupBy("u", "t").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("list")).alias("lists"), best.alias("best"))

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -125,6 +126,26 @@ def test_random_spans(spark, sf_dir, docs_of, rnd):
     assert len(got & long) >= 0.97 * len(long) and len(got & keys) >= 0.85 * len(keys) and len(got & words) <= 0.1 * len(got)
 
 
+def test_very_long_tokens(docs_of, rnd):
+    """A token's time follows its length."""
+    long = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    d = docs_of([f"see {long} here", "a" * 1_000_000, "0123456789abcdef" * 50_000])
+    begin = time.time()
+    rows = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.scan_secrets(d)).collect()}
+    assert time.time() - begin < 60 and rows[2]["n_hex"] == 1 and rows[0]["n_hex"] == rows[0]["n_assign"] == 0
+
+
+def test_keys_of_lists(spark):
+    """Keys of just the sizes that the list has; a pattern of any size is met."""
+    url = "http://a.b.c.d.example/" + "/".join(f"p{i}" for i in range(50)) + "/end"
+    day = F.lit("2024-01-02").cast("timestamp")
+    patterns = [("domain", "c.d.example"), ("domain", "example"), ("domain", "x.a.b.c.d.example"), ("prefix", "a.b.c.d.example/"), ("prefix", "a.b.c.d.example/p0/p1/p2/"), ("prefix", "a.b.c.d.example/p0/p1"), ("prefix", url[7:]), ("host", "a.b.c.d.example")]
+    entries = spark.createDataFrame([(str(i), k, p, "add") for i, (k, p) in enumerate(patterns)], "list string, kind string, pattern string, action string").withColumn("dated", F.lit("2024-01-01").cast("timestamp"))
+    assert url_filters.sizes(entries) == ([1, 3, 6], [1, 2, 4, 51])
+    found = url_filters.filter_captures(spark.createDataFrame([(url,), ("http://local/x",), (long := "http://c.d.example/" + "d/" * 20_000,)], "url string").withColumn("fetched_at", day), entries).collect()
+    assert {r["url"]: r["url_filter"]["lists"] for r in found} == {url: ["0", "3", "4", "6", "7"], "http://local/x": [], long: ["0"]}
+
+
 def test_mix(spark, docs_of):
     texts = ["w " * n for n in (5, 7, 100, 3, 0, 50)] + [None]
     rows = mixing.mix_sources(docs_of(texts, sources=["b", "b", "a", None, "c", "a", "c"], ids=[1, 1, 2, 3, 4, None, 6])).collect()
@@ -204,7 +225,7 @@ def test_empty_tables(spark):
     talks = spark.createDataFrame([], "conv_id long, turn long, role string, text string, n_turns string")
     assert chat.digest(chat.format_conversations(chat.text_parts(talks))).count() == 0
     entries = spark.createDataFrame([], "list string, kind string, pattern string, dated timestamp, action string")
-    captures = spark.createDataFrame([(1, "http://a.example/" + "d/" * 2000, "mine")], "id long, url string, url_filter string").withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
+    captures = spark.createDataFrame([(1, "http://a.example/" + "d/" * 20_000, "mine")], "id long, url string, url_filter string").withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
     assert [r["url_filter"]["blocked"] for r in url_filters.filter_captures(captures, entries).collect()] == [False]
     assert url_filters.filter_captures(captures.limit(0), entries).count() == 0
 
