@@ -200,17 +200,3 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_fp = named.join(least, "component").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row of its least doc_id, all columns kept.
-
-    A null doc_id comes last; rows of one doc_id go by a hash of the text, and of rows that agree in doc_id and text
-    any one stays. Texts move once, to meet the ids that stay.
-    """
-    keys = {"__no_id": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__text": F.md5(F.coalesce("text", F.lit("")).cast("binary"))}
-    # texts are hashed into narrow rows first; a fingerprint depends on the text alone
-    narrow = docs.select("doc_id", "text").withColumns(keys)
-    found = near_duplicates(narrow.select(F.struct(*keys).alias("doc_id"), "text"), hot)
-    stay = found.select("component_id.*").distinct()
-    return docs.withColumns(keys).join(stay, list(keys)).dropDuplicates(list(keys)).drop(*keys)

@@ -116,12 +116,6 @@ def test_odd_rows(spark, docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
 
 
-def test_keep_one(docs_of):
-    kept = simhash.keep_one(docs_of(["a b c d", "a b c d", "a b c d", "quite another text", None], ids=[7, 3, 3, None, None]))
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(False, 3, "a b c d"), (True, 0, "quite another text"), (True, 0, "")])
-    assert kept.columns[-1] == "score"
-
-
 def test_chain_of_links(spark):
     n = 200
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5, 5), (3, 2), (1000, 1001)], "u long, v long")
