@@ -72,9 +72,15 @@ def _said(*parts: Column | str) -> Column:
 def dates(text: Column) -> Column:
     """Days named in a text as ISO dates, day/month/year and bare years (their first of January), repeats kept.
 
-    Days beyond the month's end roll over; months over 12 or days over 31 name no date.
+    Days beyond the month's end roll over; months over 12 or days over 31 name no date. A date lies in a stretch of
+    digits, '-' and '/' that no word character precedes; the text is read once for these, and only they for dates.
     """
-    iso = rf"{START}(20\d\d)-(\d\d)-(\d\d){END}"
+    stretches = every(text, r"[0-9](?<![A-Za-z0-9_][0-9])[0-9/-]*+[A-Za-z_]?")  # a letter behind tells that no date ends here
+    return let(F.array_join(stretches, " "), _dates)
+
+
+def _dates(text: Column) -> Column:
+    iso =rf"{START}(20\d\d)-(\d\d)-(\d\d){END}"
     dmy = rf"{START}(\d{{1,2}})[/-](\d{{1,2}})[/-](20\d\d){END}"
     parts = lambda p, y, m, d: F.transform(F.arrays_zip(every(text, p, y).alias("y"), every(text, p, m).alias("m"), every(text, p, d).alias("d")), lambda x: F.struct(x["y"].cast("int").alias("y"), x["m"].cast("int").alias("m"), x["d"].cast("int").alias("d")))
     years = F.transform(every(text, rf"{START}(20\d\d){END}", 1), lambda y: F.struct(y.cast("int").alias("y"), F.lit(1).alias("m"), F.lit(1).alias("d")))
@@ -133,18 +139,28 @@ def factuality(text: Column) -> Column:
     return d.column()
 
 
-def structure(html: Column, heads: Column) -> Column:
+def openers(html: Column) -> Column:
+    """Names, as written, of the opening tags of lists, tables and quotations, in one search."""
+    return every(html, f"(?i)<(ul|ol|table|blockquote){END}", 1)
+
+
+def _named_as(opened: Column, *names: str) -> Column:
+    return F.size(F.filter(opened, lambda x: F.lower(x).isin(*names)))
+
+
+def structure(html: Column, heads: Column, opened: Column | None = None) -> Column:
+    """``opened`` is openers(html) where it is at hand."""
+    opened = openers(html) if opened is None else opened
     d, h1, h2, h3 = Dimension("structure"), heads["h1_count"], heads["h2_count"], heads["h3_count"]
     d.add((h1 == 1, 20, "Un único H1 (correcto)", None), (h1 == 0, 0, None, ("high", "No hay H1 en la página", "Añadir un único H1 que describa la página.")), (None, 0, None, ("high", _said(h1, " H1 detectados (debe ser 1)"), "Reducir a un único H1.")))
     d.add((h2 >= 2, 20, _said(h2, " H2 (estructura clara)"), None), (h2 == 1, 10, None, None), (None, 0, None, ("medium", "Falta jerarquía con H2", "Estructurar el contenido con H2 para secciones principales.")))
     d.add((h3 >= 2, 15, _said(h3, " H3 (subdivisión detallada)"), None))
-    n = count(html, f"(?i)<ul{END}") + count(html, f"(?i)<ol{END}")
-    d.add_for(n, lambda n: [(n >= 3, 20, _said(n, " listas (UL/OL) — formato escaneable"), None), (n >= 1, 12, _said(n, " listas"), None), (None, 0, None, ("medium", "Sin listas en el contenido", "Los LLMs extraen mejor información de listas. Convertir párrafos enumerativos en listas."))])
-    tables = count(html, f"(?i)<table{END}")
-    d.add_for(tables, lambda n: [(n >= 1, 15, _said(n, " tablas (excelente para datos comparativos)"), None)])
+    d.add_for(_named_as(opened, "ul", "ol"), lambda n: [(n >= 3, 20, _said(n, " listas (UL/OL) — formato escaneable"), None), (n >= 1, 12, _said(n, " listas"), None), (None, 0, None, ("medium", "Sin listas en el contenido", "Los LLMs extraen mejor información de listas. Convertir párrafos enumerativos en listas."))])
+    d.add_for(_named_as(opened, "table"), lambda n: [(n >= 1, 15, _said(n, " tablas (excelente para datos comparativos)"), None)])
     paragraphs = tags.matches(closed(html, "p"), f"<p{END}", r"[^>]*>[\s\S]*?</p>")
-    average = F.aggregate(paragraphs, F.lit(0).cast("long"), lambda a, p: a + units(strip_tags(p))) / F.nullif(F.size(paragraphs), F.lit(0))
-    d.add_for(average, lambda x: [(x < 300, 10, "Párrafos cortos (escaneables)", None), (x > 600, 0, None, ("low", "Párrafos muy largos (>600 caracteres promedio)", "Dividir párrafos largos para mejorar escaneabilidad."))])
+    # Each ends in a closing tag, so no tag goes on into the next one and all can be measured at once.
+    average = let(paragraphs, lambda all_of: units(strip_tags(F.array_join(all_of, ""))) / F.nullif(F.size(all_of), F.lit(0)))
+    d.add_for(average,lambda x: [(x < 300, 10, "Párrafos cortos (escaneables)", None), (x > 600, 0, None, ("low", "Párrafos muy largos (>600 caracteres promedio)", "Dividir párrafos largos para mejorar escaneabilidad."))])
     return d.column()
 
 
@@ -191,13 +207,15 @@ def machine_readable(record: dict[str, Column], types: Column, blocks: Column) -
     return d.column()
 
 
-def answer_format(html: Column, types: Column) -> Column:
+def answer_format(html: Column, types: Column, opened: Column | None = None) -> Column:
+    """``opened`` is openers(html) where it is at hand."""
+    opened = openers(html) if opened is None else opened
     d = Dimension("answer_format")
     d.add((_any(types, ["FAQPage"]), 50, "Schema FAQPage presente (excelente para LLMs)", None), (None, 0, None, ("medium", "Sin schema FAQPage", "Si tienes preguntas frecuentes, añadir schema FAQPage. Los LLMs extraen Q&A literalmente.")))
     d.add((_any(types, ["HowTo"]), 25, "Schema HowTo presente", None))
     d.add((F.exists(tags.matches(html, "<h[2-4]", "[^>]*>([^<]*+)</h[2-4]>", 1), lambda x: x.contains("?")), 20, "Headings con formato pregunta", None))
     d.add((closed(html, "dl").rlike(rf"(?i)<dl{END}[\s\S]*?</dl>"), 15, "Listas de definición (<dl>) — formato perfecto para LLMs", None))
-    d.add((html.rlike(f"(?i)<blockquote{END}"), 10, "Blockquotes presentes", None))
+    d.add((_named_as(opened, "blockquote") > 0, 10, "Blockquotes presentes", None))
     short = F.size(F.filter(tags.matches(closed(html, "li"), f"<li{END}", r"[^>]*>[\s\S]*?</li>"), lambda x: units(strip_tags(x)) < 200))
     d.add_for(short, lambda n: [(n >= 5, 10, _said(n, " bullets con respuestas concisas"), None)])
     return d.column()
@@ -211,22 +229,22 @@ def with_citability(records: DataFrame, as_of: Column) -> DataFrame:
     pushed below these columns would compute them again.
     """
     html, types = F.col("html"), F.coalesce("schema.types", F.expr("cast(array() as array<string>)"))
-    r = records.withColumn("visible", page.visible_text(html))
+    r = records.withColumns({"visible": page.visible_text(html), "opened": openers(html)})
     text, rec = F.col("visible"), {n: F.col(n) for n in ("open_graph", "meta", "canonical", "technical", "hreflang")}
     no_links = F.expr("cast(array() as array<struct<href:string,anchor:string>>)")
     made = {
         "freshness": freshness(text, types, as_of),
         "authorship": authorship(html, text, types),
         "factuality": factuality(text),
-        "structure": structure(html, F.col("headings")),
+        "structure": structure(html, F.col("headings"), F.col("opened")),
         "citations": citations(html, F.coalesce("links.external", no_links)),
         "expertise": expertise(text, F.coalesce("links.internal", no_links), types),
         "machine_readable": machine_readable(rec, types, F.coalesce("schema.count", F.lit(0))),
-        "answer_format": answer_format(html, types),
+        "answer_format": answer_format(html, types, F.col("opened")),
     }
     empty = F.struct(F.lit(0).alias("score"), F.lit("no_data").alias("rating"), F.lit(None).alias("dimensions"), F.expr("cast(array() as array<struct<dimension:string,message:string>>)").alias("signals"), F.expr(f"cast(array() as array<{GAP}>)").alias("gaps"))
     full = let(F.struct(*[c.alias(n) for n, c in made.items()]), _compiled)
-    return r.withColumn("citability", F.when(F.coalesce(html, F.lit("")) != "", full).when(html.isNotNull(), empty)).drop("visible")
+    return r.withColumn("citability", F.when(F.coalesce(html, F.lit("")) != "", full).when(html.isNotNull(), empty)).drop("visible", "opened")
 
 
 def _compiled(dim: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags
 from ..functions.lineage import settled
+from ..functions.order import numbered
 from ..functions.text import every, let, trim
 from ..functions.urls import is_asset, normalize, origin, resolve_all, strip_hash
 
@@ -62,7 +63,8 @@ def crawl(pages: DataFrame, max_urls: int = MAX_URLS) -> DataFrame:
     ``pages(site, url, start_url, html)``: html of pages that came with a 2xx status. A page's links are followed while
     fewer than ``max_urls`` URLs were found before it; pages deeper than CRAWL_DEPTH aren't read. ``ord`` is the order
     of finding. Each round joins the new URLs with the links of their pages and leaves out those known; a running sum
-    over the order of finding tells which pages were still read.
+    over the order of finding tells which pages were still read. What a round follows of a site, and so what its sums
+    run over, is at most ``max_urls`` URLs and those of one page more.
     """
     base = pages.select("site", "url", F.when(F.coalesce("html", F.lit("")) != "", tags.matches(F.col("html"), "<a", CRAWL_LINK, 1)).alias("hrefs")).dropDuplicates(["site", "url"])
     links = base.select("site", "url", F.posexplode(resolve_all("url", "hrefs")).alias("pos", "href")).where("href is not null")
@@ -88,6 +90,7 @@ def discover(pages: DataFrame, sitemaps: DataFrame, max_urls: int = MAX_URLS) ->
     """``(site, source, ord, url)``: each site's URLs from its sitemap, else its sitemap index, else a crawl.
 
     A sitemap counts from ENOUGH URLs on, repeats included; then URLs are cleaned of fragments and repeats, the first kept.
+    URLs of a site are numbered over the cluster, so a site of millions of locations isn't one task's.
     """
     sites = pages.select("site").distinct()
     parts = [("sitemap", expand(sitemaps, "sitemap.xml", max_urls)), ("sitemap_index", expand(sitemaps, "sitemap_index.xml", max_urls))]
@@ -99,8 +102,8 @@ def discover(pages: DataFrame, sitemaps: DataFrame, max_urls: int = MAX_URLS) ->
     walked = crawl(pages.join(chosen.where("source = 'crawl'").select("site"), "site", "left_semi"), max_urls).select("site", F.lit("crawl").alias("source"), F.array("ord").alias("ord"), "url")
     rows = listed[0].unionByName(listed[1]).unionByName(walked)
     rows = rows.withColumn("url", F.coalesce(strip_hash(normalize("url")), F.col("url")))
-    first = rows.groupBy("site", "source", "url").agg(F.min("ord").alias("ord"))
-    return first.select("site", "source", (F.row_number().over(W.partitionBy("site").orderBy("ord")) - 1).alias("ord"), "url")
+    first = rows.groupBy("site", "source", "url").agg(F.min("ord").alias("found_at"))
+    return numbered(first, "site", "found_at", "ord").select("site", "source", F.col("ord").cast("int").alias("ord"), "url")
 
 
 def cap(discovered: DataFrame, max_urls: int = MAX_URLS) -> DataFrame:

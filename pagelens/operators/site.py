@@ -75,9 +75,30 @@ def _totals() -> list[Column]:
     ]
 
 
+def _status() -> Column:
+    return F.coalesce(F.nullif("status", F.lit(0)).cast("string"), F.lit("error"))
+
+
 def status_breakdown(p: DataFrame) -> DataFrame:
     """``(site, status, pages)``; a missing status or 0 is ``error``."""
-    return p.groupBy("site", F.coalesce(F.nullif("status", F.lit(0)).cast("string"), F.lit("error")).alias("status")).agg(F.count(F.lit(1)).alias("pages"))
+    return p.groupBy("site", _status().alias("status")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+def facts(p: DataFrame) -> DataFrame:
+    """``(site, fact, key, n, first)``: how often a site's pages say something, and where first (``seq``, ``pos``).
+
+    Of every page its ``status``; of ok pages each ``type`` of structured data, the ``title`` and ``description`` unless
+    empty, and each internal ``link`` without fragment, repeats counted. One shuffle serves all reports, and rows are
+    counted by task before it, so a title or link that is on every page costs a row a task.
+    """
+    fact = lambda kind, key, pos: F.struct(F.lit(kind).alias("fact"), key.alias("key"), pos.alias("pos"))
+    none = F.expr("cast(array() as array<struct<fact:string,key:string,pos:int>>)")
+    texts = F.filter(F.array(fact("title", F.col("title"), F.lit(0)), fact("description", F.col("description"), F.lit(0))), lambda x: filled(x["key"]))
+    types = F.coalesce(F.transform("types", lambda t: fact("type", t, F.lit(0))), none)
+    links = F.coalesce(F.transform("internal", lambda href, i: fact("link", strip_hash(href), i)), none)
+    said = F.concat(F.array(fact("status", _status(), F.lit(0))), F.when(F.col("ok"), F.concat(texts, types, links)).otherwise(none))
+    rows = p.select("site", "seq", F.inline(said))
+    return rows.groupBy("site", "fact", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "pos")).alias("first"))
 
 
 def issue_counts(p: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,25 +20,35 @@ def complete_records(pages: DataFrame, as_of: Column) -> DataFrame:
 def site_report(p: DataFrame) -> DataFrame:
     """One row per site from slim records, persisted: summary, issues, samples, link graph and schema types.
 
-    Every part is aggregated by site before the equi-joins, so these move a row per site and part.
+    What pages say is counted by site, fact and key in one shuffle. Numbers, maps and lists are read off these counts and
+    gathered in one aggregation by site, which gets a row a site of each number and the few rows of each list.
     """
-    inbound = site.inbound_links(p)
+    facts = settled(site.facts(p))  # counts; every part below reads them
+    inbound = facts.where("fact = 'link'").select("site", F.col("key").alias("url"), F.col("n").alias("inbound_count"), "first")
     lost = site.orphans(p, inbound)
-    as_map = lambda df, key, value, name: df.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))
+    shared = lambda kind: F.count_if((F.col("fact") == kind) & (F.col("n") > 1))
     parts = [
-        as_map(site.status_breakdown(p), "status", "pages", "status_breakdown"),
-        site.duplicate_counts(p, duplicate_titles=F.col("title"), duplicate_metas=F.col("description")),
-        inbound.groupBy("site").agg(F.sum("inbound_count").alias("total_internal_links")),
-        lost.groupBy("site").agg(F.count(F.lit(1)).alias("orphan_pages_count")),
-        site.most_linked(inbound).groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url", "inbound_count"))), lambda x: F.struct(x["url"].alias("url"), x["inbound_count"].alias("inbound_count"))).alias("most_linked_pages")),
-        as_map(site.schema_types(p), "type", "pages", "schema_types_found"),
-        site.issue_samples(p, lost).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("issue", "rank", "url", "detail"))).alias("samples")),
+        facts.where("fact != 'status' and fact != 'type'").groupBy("site").agg(shared("title").alias("titles"), shared("description").alias("metas"), F.sum(F.when(F.col("fact") == "link", F.col("n"))).alias("links")),
+        facts.where("fact = 'status'").select("site", F.struct("key", "n").alias("status")),
+        facts.where("fact = 'type'").select("site", F.struct("key", "n").alias("type")),
+        lost.groupBy("site").agg(F.count(F.lit(1)).alias("lost")),
+        site.most_linked(inbound).select("site", F.struct("rank", "url", "inbound_count").alias("linked")),
+        site.issue_samples(p, lost).select("site", F.struct("issue", "rank", "url", "detail").alias("sample")),
     ]
-    report = site.summary_and_issues(p)
-    for part in parts:
-        report = report.join(part, "site", "left")
-    zeros = {n: 0 for n in ("duplicate_titles", "duplicate_metas", "total_internal_links", "orphan_pages_count")}
-    return report.fillna(zeros)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    listed = lambda c: F.when(F.count(c) > 0, F.array_sort(F.collect_list(c)))
+    number = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    gathered = rows.groupBy("site").agg(
+        F.map_from_entries(listed("status")).alias("status_breakdown"),
+        number("titles", "duplicate_titles"),
+        number("metas", "duplicate_metas"),
+        number("links", "total_internal_links"),
+        number("lost", "orphan_pages_count"),
+        F.transform(listed("linked"), lambda x: F.struct(x["url"].alias("url"), x["inbound_count"].alias("inbound_count"))).alias("most_linked_pages"),
+        F.map_from_entries(listed("type")).alias("schema_types_found"),
+        listed("sample").alias("samples"),
+    )
+    return site.summary_and_issues(p).join(gathered, "site", "left")  # each page has a status, so no site lacks a row
 
 
 def crawl_report(pages: DataFrame, sitemaps: DataFrame, as_of: Column, max_urls: int = discovery.MAX_URLS) -> DataFrame:
