@@ -28,19 +28,35 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared checkpoint folder and read again; for large, compressible tables.
+def scratch(spark: SparkSession) -> str:
+    """A path for a table of its own in the shared checkpoint folder."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4()}"
 
-    The files go when the driver's session ends.
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to a scratch() path and read again; for large, compressible tables.
+
+    The files go when the driver's session ends, or at discard().
     """
-    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
-    sc = df.sparkSession.sparkContext
-    place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, files = _place(df.sparkSession, path)
+    files.deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes stored() tables that nothing reads any more; paths without one are left."""
+    for path in paths:
+        place, files = _place(spark, path)
+        files.delete(place, True)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """A folder of this session in ``spark.checkpoint.dir``; only on a local master, where it may be unset, a temporary one."""
     sc = spark.sparkContext
