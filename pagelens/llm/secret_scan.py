@@ -19,6 +19,8 @@ KINDS = [
 ]
 #: What the battery looks at: runs of these characters, and their least length.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: The same matches: one starts where a run of these characters does, so places inside a run needn't be tried.
+TOKEN_RUN = r"(?<![A-Za-z0-9+/_-])" + TOKEN
 #: Encodings by the characters a token keeps to: name, expression, alphabet in order of value, and if case is folded.
 #: The first that fits is taken.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -86,31 +88,41 @@ def upper_normal(z: Column) -> Column:
 
 
 def _total(array: Column, f: Callable[[Column], Column]) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda a, x: a + f(x))
+    return F.aggregate(array, F.lit(0).cast("bigint"), lambda a, x: a + f(x))
 
 
-def evenness(text: Column, letters: Column, k: Column) -> Column:
-    """p-value of ``text`` being drawn evenly from ``letters``, an array of k characters: the least of three tests' p, times three.
+#: Letters are written as characters around this code: those of the upper half of an alphabet from it on. A character's
+#: code less this is the letter's place, counted from the alphabet's middle.
+MIDDLE = 80
+HALVES = "".join(map(chr, range(MIDDLE - 32, MIDDLE + 32))), "0" * 32 + "1" * 32
+#: Least p-value that has a step of its own.
+P_MIN = 1e-30
+
+
+def evenness(coded: Column, k: Column) -> Column:
+    """p-value of a text being drawn evenly from k letters: the least of three tests' p, times three.
 
     Chi-squared of the alphabet's counts (Wilson-Hilferty), number of runs above and below the alphabet's middle
-    (Wald-Wolfowitz), and correlation of neighbours. Counts come from what is left when a letter is taken out, runs from
-    the text written in two letters, so a text costs a fixed number of passes, whatever its length.
+    (Wald-Wolfowitz), and correlation of neighbours. ``coded`` is the text with its letters written as around MIDDLE.
+    Counts come from the stretches of the sorted text, so the work follows a text's length, whatever the alphabet. Where
+    the counts alone give P_MIN or less, that is the result and the other tests, which could only lower it, aren't made.
     """
-    size = F.length(text)
+    size = F.length(coded)
     n, dof = size.cast("double"), k - 1
-    lost = lambda s, part: (F.length(s) - F.length(F.replace(s, part, F.lit("")))).cast("double")
+    lost = lambda s, part: (F.length(s) - F.length(F.replace(s, F.lit(part), F.lit("")))).cast("double")
+    place = lambda c: (F.ascii(c) - MIDDLE).cast("bigint")
 
-    def p_chi(counts: Column) -> Column:
-        squares = _total(counts, lambda c: c * c)
+    def p_chi(same: Column) -> Column:
+        squares = _total(same, lambda s: F.length(s).cast("bigint") * F.length(s)).cast("double")
         return upper_normal((F.pow(F.greatest(squares * k / n - n, F.lit(0.0)) / dof, F.lit(1 / 3)) - (1 - 2 / (9 * dof))) / F.sqrt(2 / (9 * dof)))
 
     def p_runs(halves: Column) -> Column:
-        changes = (lost(halves, F.lit("01")) + lost(halves, F.lit("10"))) / 2
+        changes = (lost(halves, "01") + lost(halves, "10")) / 2
 
         def tail(mean: Column) -> Column:
             return 2 * upper_normal(F.abs(changes + 1 - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))))
 
-        return _let(_let(lost(halves, F.lit("1")), lambda high: 2 * high * (n - high) / n + 1), tail)
+        return _let(_let(lost(halves, "1"), lambda high: 2 * high * (n - high) / n + 1), tail)
 
     def p_serial(sums: Column) -> Column:
         first, last, neighbours = sums["first"], sums["last"], sums["neighbours"]
@@ -119,36 +131,39 @@ def evenness(text: Column, letters: Column, k: Column) -> Column:
         together = neighbours - centre * (2 * sums["sum"] - first - last) + (n - 1) * centre * centre
         return 2 * upper_normal(F.abs(together / power + 1 / n) * F.sqrt(n))
 
-    def sums(x: Column) -> Column:
-        counts, values = x["counts"], x["values"]
-        weighed = lambda f: _total(F.transform(counts, lambda c, i: c * f(i.cast("double"))), lambda v: v)
+    def sums(values: Column) -> Column:
         beside = F.zip_with(F.slice(values, F.lit(1), size - 1), F.slice(values, F.lit(2), size - 1), lambda a, b: a * b)
-        return F.struct(weighed(lambda v: v).alias("sum"), weighed(lambda v: v * v).alias("squares"), _total(beside, lambda v: v).alias("neighbours"), F.get(values, F.lit(0)).alias("first"), F.element_at(values, -1).alias("last"))
-
-    upper = F.ceil(k / 2).cast("int")  # letters from the middle on
-    coded = F.concat(F.repeat(F.lit("0"), upper), F.repeat(F.lit("1"), k.cast("int") - upper))
+        parts = {"sum": _total(values, lambda v: v), "squares": _total(values, lambda v: v * v), "neighbours": _total(beside, lambda v: v), "first": F.get(values, F.lit(0)), "last": F.element_at(values, -1)}
+        return F.struct(*[c.cast("double").alias(name) for name, c in parts.items()])
 
-    def facts(alphabet: Column) -> Column:
-        values = F.transform(F.split(text, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-        return F.struct(F.transform(letters, lambda c: lost(text, c)).alias("counts"), values.alias("values"), F.call_function("translate", text, alphabet, coded).alias("halves"))
+    def least(letters: Column) -> Column:
+        same = F.regexp_extract_all(F.array_join(F.sort_array(letters), ""), F.lit(r"(.)\1*"), F.lit(0))
+        runs = lambda: _let(F.translate(coded, *HALVES), p_runs)
+        serial = lambda: _let(_let(F.transform(letters, place), sums), p_serial)
+        return _let(_let(same, p_chi), lambda chi: F.when(3 * chi <= P_MIN, P_MIN).otherwise(F.least(F.lit(1.0), 3 * F.least(chi, runs(), serial()))))
 
-    return _let(_let(F.array_join(letters, ""), facts), lambda x: F.least(F.lit(1.0), 3 * F.least(p_chi(x["counts"]), p_runs(x["halves"]), _let(sums(x), p_serial))))
+    return _let(F.split(coded, ""), least)
 
 
 def p_step(token: Column) -> Column:
     """Step of the battery's p-value in the encoding that the token keeps to; 0 for one as even as can be."""
-    letters_of = lambda letters: F.array(*map(F.lit, letters))
-    alphabet, folded = letters_of(ENCODINGS[-1][2]), F.lit(False)
-    for _, pattern, letters, fold in reversed(ENCODINGS):
-        fits = token.rlike(pattern)
-        alphabet, folded = F.when(fits, letters_of(letters)).otherwise(alphabet), F.when(fits, fold).otherwise(folded)
-    clean = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
+
+    def written(clean: Column) -> Column:
+        def one(letters: str, fold: bool) -> Column:
+            k = len(letters)
+            codes = "".join(chr(MIDDLE + i - (k + 1) // 2) for i in range(k))
+            return F.struct(F.translate(F.lower(clean) if fold else clean, letters, codes).alias("coded"), F.lit(float(k)).alias("k"))
+
+        x = one(*ENCODINGS[-1][2:])
+        for _, pattern, letters, fold in reversed(ENCODINGS[:-1]):
+            x = F.when(token.rlike(pattern), one(letters, fold)).otherwise(x)
+        return x
 
     def measure(c: Column) -> Column:
-        p = evenness(c["clean"], c["alphabet"], F.size(c["alphabet"]).cast("double"))
-        return F.least(F.lit(MAX_STEP), F.floor(-STEPS_10 * F.log10(F.greatest(p, F.lit(1e-30))))).cast("int")
+        return F.least(F.lit(MAX_STEP), F.floor(-STEPS_10 * F.log10(F.greatest(evenness(c["coded"], c["k"]), F.lit(P_MIN))))).cast("int")
 
-    return _let(F.struct(alphabet.alias("alphabet"), F.when(folded, F.lower(clean)).otherwise(clean).alias("clean")), measure)
+    bare = F.when(F.endswith(token, F.lit("=")), F.regexp_replace(token, "=+$", "")).otherwise(token)
+    return _let(_let(F.when(token.rlike("[-_]"), F.translate(bare, "-_", "+/")).otherwise(bare), written), measure)
 
 
 def tokens(text: Column) -> Column:
@@ -158,13 +173,13 @@ def tokens(text: Column) -> Column:
         kind = reduce(lambda c, i: F.when(m["end"] - m["start"] >= LENGTHS[i], i).otherwise(c), range(1, len(LENGTHS)), F.lit(0))
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), kind.alias("class"), p_step(m["token"]).alias("step"), F.xxhash64(m["token"]).alias("hash"))
 
-    return F.when(text.rlike(TOKEN), F.transform(matches(text, TOKEN), judge)).otherwise(F.expr(NO_TOKEN))
+    return F.when(text.rlike(TOKEN_RUN), F.transform(matches(text, TOKEN_RUN), judge)).otherwise(F.expr(NO_TOKEN))
 
 
 def ordinary(text: Column) -> Column:
-    """Ordinary text run together, which tokens are held against: one string of a class' least length, if there is as much.
+    """One string of ordinary text run together, of a class' least length, if there is as much: a quick null hypothesis.
 
-    A hash of the text chooses the class and the place where it starts; tokens themselves and all but letters and
+    Thresholds that rest on it come from a sample of the text; all_ordinary() takes all of it, as the queries do. A hash of the text chooses the class and the place where it starts; tokens themselves and all but letters and
     digits are left out.
     """
     longest = LENGTHS[-1]
@@ -180,10 +195,34 @@ def ordinary(text: Column) -> Column:
     return _let(chosen, of)
 
 
+def all_ordinary(text: Column) -> Column:
+    """Ordinary text run together, all of it, which tokens are held against: strings of the classes' least lengths.
+
+    Tokens and all but letters and digits are left out. What is left is cut from its start into a string of each class
+    in turn, over and over; the rest that is too short for all of them, into the longest that fit. Fewer characters than
+    the shortest class has may remain. So each character stands in one string, and each class gets strings of all texts.
+    """
+    whole = sum(LENGTHS)
+    tail = "|".join(f".{{{n}}}" for n in reversed(LENGTHS))
+
+    def cut(plain: Column) -> Column:
+        turn = lambda s: F.array(*[F.substring(s, sum(LENGTHS[:i]) + 1, n) for i, n in enumerate(LENGTHS)])
+        turns = F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(f".{{{whole}}}"), F.lit(0)), turn))
+        rest = F.substring(plain, F.length(plain) - F.length(plain) % whole + 1, F.lit(whole))
+        return F.concat(turns, F.regexp_extract_all(rest, F.lit(tail), F.lit(0)))
+
+    def judge(s: Column) -> Column:
+        kind = F.array_position(F.array(*[F.lit(n) for n in LENGTHS]), F.length(s)).cast("int") - 1
+        return F.struct(kind.alias("class"), p_step(s).alias("step"), F.xxhash64(s).alias("hash"))
+
+    plain = F.regexp_replace(F.regexp_replace(text, TOKEN_RUN, ""), "[^A-Za-z0-9]+", "")
+    return F.transform(_let(plain, cut), judge)
+
+
 def random_steps(found: DataFrame, fdr: float = FDR) -> dict[int, int]:
     """For each class of length the largest step of tokens that are said to be random (Benjamini-Hochberg).
 
-    ``found`` has columns tokens() and ordinary(). The null hypothesis is that a token is ordinary text run together:
+    ``found`` has columns tokens() and ordinary, strings by all_ordinary() or ordinary(). The null hypothesis is that a token is ordinary text run together:
     its p-value is the share of the corpus' own ordinary strings, no longer than the token's class, that look as even
     or more, (1 + those) / (1 + all). The largest step whose p-value is at most ``fdr`` times the share of distinct
     tokens up to it is the limit, so of the tokens reported about ``fdr`` at most are ordinary. Copies of tokens and of
@@ -226,23 +265,24 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _found(text: Column) -> Column:
-    """All that a text gives, as one struct: spans of the fixed patterns, tokens() and ordinary()."""
-    return F.struct(*[c.alias(f"base_{kind}") for c, (kind, *_) in zip(base_spans(text), KINDS)], tokens(text).alias("tokens"), ordinary(text).alias("ordinary"))
+def _found(text: Column, null: Callable[[Column], Column]) -> Column:
+    """All that a text gives, as one struct: spans of the fixed patterns, tokens() and, by ``null``, ordinary strings."""
+    return F.struct(*[c.alias(f"base_{kind}") for c, (kind, *_) in zip(base_spans(text), KINDS)], tokens(text).alias("tokens"), null(text).alias("ordinary"))
 
 
-def scan_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
+def scan_secrets(docs: DataFrame, fdr: float = FDR, null: Callable[[Column], Column] = ordinary) -> DataFrame:
     """``(doc_id, base, spans)`` for every row of ``docs(doc_id, text)``; arrays of ``struct<start,rank,kind,end>``.
 
     ``base`` has the matches of KINDS, ``spans`` these and, as kind ``random``, the tokens that the battery finds too
     even for ordinary text, at a false-discovery rate of ``fdr`` among those reported in each class of length, see
-    random_steps(). Spans are in code points, end exclusive.
+    random_steps(). Spans are in code points, end exclusive. ``null`` gives the ordinary strings of a text:
+    all_ordinary() all of them, ordinary() one.
 
     Null text counts as empty and has no spans. Repeated rows repeat; an empty table gives no rows; further columns
     are ignored. In a table without ordinary text to compare with, or with too little of it, no span is ``random``.
     Nothing but spans and steps is kept between the two passes.
     """
-    found = materialize(docs.select("doc_id", _found(F.coalesce("text", F.lit(""))).alias("f")).select("doc_id", "f.*"))
+    found = materialize(docs.select("doc_id", _found(F.coalesce("text", F.lit("")), null).alias("f")).select("doc_id", "f.*"))
     kinds = [(kind, F.col(f"base_{kind}")) for kind, *_ in KINDS]
     extra = ("random", random_spans(F.col("tokens"), random_steps(found, fdr)))
     return found.select("doc_id", _joined(kinds).alias("base"), _joined([*kinds, extra]).alias("spans"))
@@ -258,14 +298,14 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, fdr: float = FDR, mark: str = MARK) -> DataFrame:
+def redact(docs: DataFrame, fdr: float = FDR, mark: str = MARK, null: Callable[[Column], Column] = ordinary) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark`` (overlapping ones by one); all else is unchanged.
 
     Null texts stay null. What each text gives is found once and kept beside it, in the shared folder, until the
     limits of the battery are known from all of ``docs``.
     """
     own = unused(docs, "found")
-    held = stored(docs.withColumn(own, _found(F.coalesce("text", F.lit("")))))
+    held = stored(docs.withColumn(own, _found(F.coalesce("text", F.lit("")), null)))
     limits = random_steps(held.select(f"{own}.tokens", f"{own}.ordinary"), fdr)
     text, found = F.col("text"), F.col(own)
     spans = _joined([*[(kind, found[f"base_{kind}"]) for kind, *_ in KINDS], ("random", random_spans(found["tokens"], limits))])
