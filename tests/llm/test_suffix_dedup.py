@@ -1,6 +1,8 @@
 import hashlib
+import tracemalloc
 import uuid
 
+import pyarrow as pa
 import pytest
 
 from pagelens.llm import suffix_dedup
@@ -69,3 +71,31 @@ def test_contexts_of_copies_are_cut_once(docs_of, rnd, tmp_path, monkeypatch):
     assert [got[i] for i in range(21)] == [x[1] for x in brute([t.encode() for t in texts], 40)]
     more = [int(f.read_text()) for f in tmp_path.iterdir()]
     assert more and not any(more)
+
+
+def test_memory_does_not_follow_the_batch(rnd):
+    """What a worker's arrays take at most over a batch of 4 000 texts, 12 MB; Arrow's own memory isn't counted."""
+    words = ["".join(rnd.choices("abcdefghij", k=7)) for _ in range(2000)]
+    texts = [" ".join(rnd.choices(words, k=375)) for _ in range(4000)]
+    docs = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+
+    def most(rows):
+        tracemalloc.start()
+        n = sum(b.num_rows for b in rows)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, peak / 1e6
+
+    packed = pa.Table.from_batches(suffix_dedup._packed([docs])).combine_chunks().to_batches()[0]
+    at = [[{"gram": i, "pos": 1000, "single": True, "hot": False}] for i in range(len(texts))]
+    lists = pa.record_batch([packed["tk"], packed["z"], pa.array(at)], ["tk", "z", "at"])
+    spans = pa.record_batch([packed["doc_id"], packed["z"], pa.array([[{"s": 0, "e": 400}]] * len(texts))], ["doc_id", "z", "spans"])
+    for rows, bound in (
+        (suffix_dedup._packed([docs]), 4),
+        (suffix_dedup._cut_contexts([lists], 400, 64), 4),
+        (suffix_dedup._remove([spans]), 3),
+    ):
+        n, mb = most(rows)
+        assert n == len(texts) and mb < bound
+    n, mb = most(suffix_dedup._find_anchors([docs.select(["text"]).slice(0, 600)], 400, 64))
+    assert n > 600 and mb < 50
